@@ -60,9 +60,8 @@ def member_type(text: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
 
 
-def truthy(text: Column, path: str) -> Column:
-    """Whether the JSON value at a path counts as true: not null, false, 0 or empty."""
-    value = F.try_variant_get(F.try_parse_json(text), path, "variant")
+def truthy(value: Column) -> Column:
+    """Whether a variant counts as true: not null, false, 0 or empty."""
     kind = F.schema_of_variant(value)
     body = F.to_json(value)
     return (
@@ -96,6 +95,10 @@ def stages_error(text: Column) -> Column:
     return F.when(~kind.startswith("ARRAY"), "Pipeline manifest stages must be a list")
 
 
-def canonical_json(text: Column) -> Column:
-    """Same document with sorted keys and no spaces; unchanged if not strict JSON."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), text)
+def canonical_json(text: Column, strict: Column | None = None) -> Column:
+    """Same document with sorted keys and no spaces; unchanged if not strict JSON.
+
+    ``strict`` is the already parsed variant, when the caller has it.
+    """
+    parsed = F.try_parse_json(text) if strict is None else strict
+    return F.coalesce(F.to_json(parsed), text)

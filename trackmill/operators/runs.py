@@ -53,8 +53,11 @@ def flatten(documents: DataFrame, text: str = "manifest_json") -> DataFrame:
     m, performance = F.col("m"), F.col("m.performance")
     metrics = performance["processing_metrics"]
     results = metrics["results"]
+    given = F.try_variant_get(
+        F.col("strict"), "$.performance.processing_metrics_available", "variant"
+    )
     flag = F.coalesce(
-        F.when(performance.isNotNull(), truthy(F.col(text), "$.performance.processing_metrics_available")),
+        F.when(F.col("given").isNotNull(), truthy(F.col("given"))),
         performance["processing_metrics_available"],
         F.lit(False),
     )
@@ -86,9 +89,15 @@ def flatten(documents: DataFrame, text: str = "manifest_json") -> DataFrame:
         "initialization_overhead_seconds": performance["initialization_overhead_seconds"],
         "pipeline_duration_seconds": performance["pipeline_duration_seconds"],
     }
-    return parsed(documents, text).select(
+    # Separate steps, so that each document is parsed once and not once per field.
+    ready = (
+        parsed(documents, text)
+        .withColumn("strict", F.try_parse_json(F.col(text)))
+        .withColumn("given", given)
+    )
+    return ready.select(
         *[moved.get(name, m[name]).alias(name) for name in RUN_COLUMNS],
-        canonical_json(F.col(text)).alias("manifest_json"),
+        canonical_json(F.col(text), F.col("strict")).alias("manifest_json"),
     )
 
 
@@ -219,40 +228,42 @@ def measured_results(measurements: DataFrame) -> DataFrame:
 _METRICS_MISSING = "Processing metrics were not found"
 
 
-def finalize(
-    runs: DataFrame, stages: DataFrame, metrics: DataFrame, tracks: DataFrame
-) -> DataFrame:
-    """The closing record of every run.
+def with_metrics(runs: DataFrame, stages: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Durations, overhead and (completed runs only) the metrics document of every run.
 
-    Every joined side has one row per run after its own aggregation, so no join
-    key repeats and all joins share the partitioning on ``run_id``. Metrics,
-    counts and stored tracks are attached to completed runs only; a run whose
-    track rows break a rule keeps the reason and a stored count of zero.
+    Each joined side has one row per run after its own aggregation, so no join
+    key repeats and the joins share the partitioning on ``run_id``.
     """
     done = F.col("status") == "completed"
     results = metrics.select(
         "run_id",
         F.struct(*[c for c in metrics.columns if c != "run_id"]).alias("found_metrics"),
     )
-    counts = quality_counts(tracks)
-    problems = run_track_problems(tracks)
-    joined = (
-        with_overhead(runs, stage_totals(stages))
-        .join(results, "run_id", "left")
-        .join(counts, "run_id", "left")
-        .join(problems, "run_id", "left")
-    )
+    joined = with_overhead(runs, stage_totals(stages)).join(results, "run_id", "left")
     found = F.col("found_metrics").isNotNull()
-    kept = [c for c in runs.columns if c != "pipeline_seconds"]
-    stored = done & F.col("problem").isNull()
     return joined.select(
-        *kept,
+        *[c for c in runs.columns if c != "pipeline_seconds"],
         "pipeline_duration_seconds",
         "stage_duration_seconds",
         "initialization_overhead_seconds",
         (done & found).alias("processing_metrics_available"),
         F.when(done, F.col("found_metrics")).alias("processing_metrics"),
         F.when(done & ~found, _METRICS_MISSING).alias("processing_metrics_error"),
+    )
+
+
+def with_track_counts(runs: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Quality counts and stored-track count of completed runs.
+
+    A run whose track rows break a rule keeps the reason and a stored count of zero.
+    """
+    done = F.col("status") == "completed"
+    joined = runs.join(quality_counts(tracks), "run_id", "left").join(
+        run_track_problems(tracks), "run_id", "left"
+    )
+    stored = done & F.col("problem").isNull()
+    return joined.select(
+        *runs.columns,
         done.alias("quality_counts_available"),
         *[
             F.when(done, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c)
@@ -262,3 +273,10 @@ def finalize(
         F.when(stored, F.coalesce("total", F.lit(0))).otherwise(0).alias("database_track_count"),
         F.when(done, F.col("problem")).alias("database_tracks_error"),
     )
+
+
+def finalize(
+    runs: DataFrame, stages: DataFrame, metrics: DataFrame, tracks: DataFrame
+) -> DataFrame:
+    """The closing record of every run."""
+    return with_track_counts(with_metrics(runs, stages, metrics), tracks)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.functions.grading import StableThresholds, quality_level, quality_reason
@@ -146,13 +146,16 @@ def statistics(tracks: DataFrame) -> DataFrame:
         F.count("*").alias("n"),
         *[F.count_if(level == name).alias(name) for name in ("stable", "tentative", "weak")],
     )
+
+    def entry(section: str, name: Column, n: str) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), name.alias("name"), F.col(n).alias("n")
+        )
+
     parts = F.array(
-        F.struct(F.lit("total").alias("section"), F.lit("tracks").alias("name"), F.col("n").alias("n")),
-        *[
-            F.struct(F.lit("quality"), F.lit(name), F.col(name))
-            for name in ("stable", "tentative", "weak")
-        ],
-        F.struct(F.lit("label"), F.col("dominant_label"), F.col("n")),
+        entry("total", F.lit("tracks"), "n"),
+        *[entry("quality", F.lit(name), name) for name in ("stable", "tentative", "weak")],
+        entry("label", F.col("dominant_label"), "n"),
     )
     return (
         by_label.select("run_id", F.inline(parts))

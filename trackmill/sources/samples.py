@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.numbers import exact_sum, py_round
 from trackmill.operators.detections import frame_timestamp, observations
-from trackmill.operators.runs import finalize, measured_results
+from trackmill.operators.runs import measured_results, with_metrics, with_track_counts
 from trackmill.operators.tracks import evaluate, summarize
 
 FRAMES_PER_RECORDING = 500
@@ -224,19 +224,21 @@ def metrics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured_results(done)
 
 
+def closed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run records with durations and metrics, without track counts."""
+    return with_metrics(
+        run_headers(spark, sf_dir), stages(spark, sf_dir), metrics_documents(spark, sf_dir)
+    )
+
+
 def final_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closing records of all runs."""
-    return finalize(
-        run_headers(spark, sf_dir),
-        stages(spark, sf_dir),
-        metrics_documents(spark, sf_dir),
-        recording_tracks(spark, sf_dir),
-    )
+    return with_track_counts(closed_runs(spark, sf_dir), recording_tracks(spark, sf_dir))
 
 
 def measured_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run table with the comparable metrics, without documents."""
-    runs = final_runs(spark, sf_dir)
+    runs = closed_runs(spark, sf_dir)
     metrics = F.col("processing_metrics")
     return runs.select(
         "run_id",
@@ -333,7 +335,7 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(stage_list, F.array().cast(_STAGE_LIST)).alias("stages"),
     )
     return (
-        final_runs(spark, sf_dir)
+        closed_runs(spark, sf_dir)
         .join(lists, "run_id", "left")
         .select(
             "run_id",
