@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackmill.functions.checks import valid_run_id
@@ -31,33 +31,45 @@ def parse_metrics(text: Column) -> Column:
     return F.from_json(text, METRICS_DOCUMENT)
 
 
-# One document in brackets parses only if nothing but white space follows it.
-def _boxed(text: Column) -> Column:
-    return F.concat(F.lit("["), text, F.lit("]"))
+def with_json(rows: DataFrame, text: str, name: str = "json") -> DataFrame:
+    """Add a struct column that holds one strict and one lenient parse of a text.
+
+    In brackets, a document parses to a one-element list only if nothing but
+    white space follows it. The lenient parse (it accepts NaN and Infinity) runs
+    only where the strict one fails. Being a column of its own, the parse is
+    done once however many checks look at it.
+    """
+    boxed = F.concat(F.lit("["), F.col(text), F.lit("]"))
+    strict = rows.withColumn(f"_{name}", F.try_parse_json(boxed))
+    whole = F.col(f"_{name}")
+    return strict.withColumn(
+        name,
+        F.struct(
+            F.try_variant_get(whole, "$[0]", "variant").alias("value"),
+            F.try_variant_get(whole, "$[1]", "variant").isNull().alias("single"),
+            F.when(whole.isNull(), F.from_json(boxed, "array<map<string,string>>")).alias("loose"),
+        ),
+    ).drop(f"_{name}")
 
 
-def _object_members(text: Column) -> Column:
-    boxes = F.from_json(_boxed(text), "array<map<string,string>>")
-    return F.when(F.size(boxes) == 1, F.get(boxes, 0))
+def _loose_members(json: Column) -> Column:
+    return F.when(F.size(json["loose"]) == 1, F.get(json["loose"], 0))
 
 
-def is_json(text: Column) -> Column:
-    """True when the text is one JSON value; NaN and Infinity are accepted."""
-    strict = F.try_parse_json(_boxed(text))
-    alone = F.try_variant_get(strict, "$[1]", "variant").isNull() & F.try_variant_get(
-        strict, "$[0]", "variant"
-    ).isNotNull()
-    return F.coalesce(alone, F.lit(False)) | is_object(text)
+def is_json(json: Column) -> Column:
+    """True when the text is one JSON value; NaN and Infinity are accepted in objects."""
+    strict = json["value"].isNotNull() & json["single"]
+    return strict | F.coalesce(_loose_members(json).isNotNull(), F.lit(False))
 
 
-def is_object(text: Column) -> Column:
-    """True when the text is one JSON object."""
-    return _object_members(text).isNotNull()
+def is_object(json: Column, text: Column) -> Column:
+    """True when the (valid) JSON text is an object."""
+    return is_json(json) & text.rlike(r"\A\s*\{")
 
 
-def member_type(text: Column, path: str) -> Column:
+def _member_type(json: Column, path: str) -> Column:
     """JSON type name at a path (``VOID`` for a JSON null), null when absent."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(text), path, "variant"))
+    return F.schema_of_variant(F.try_variant_get(json["value"], path, "variant"))
 
 
 def truthy(value: Column) -> Column:
@@ -74,24 +86,25 @@ def truthy(value: Column) -> Column:
     )
 
 
-def manifest_error(text: Column, file_stem: Column) -> Column:
+def manifest_error(json: Column, text: Column, file_stem: Column) -> Column:
     """First problem of an archived manifest, null for a good one."""
-    members = _object_members(text)
-    run_id = F.from_json(text, "run_id string")["run_id"]
-    run_id_type = member_type(text, "$.run_id")
-    not_text = ~F.map_contains_key(members, "run_id") | run_id.isNull() | (run_id_type != "STRING")
+    run_id = F.coalesce(
+        F.try_variant_get(json["value"], "$.run_id", "string"),
+        F.try_element_at(_loose_members(json), F.lit("run_id")),
+    )
+    other_type = _member_type(json, "$.run_id") != "STRING"
     return (
-        F.when(~is_json(text), "Invalid JSON")
-        .when(members.isNull(), "Manifest root value must be an object")
-        .when(not_text, "Manifest must contain a string run_id")
+        F.when(~is_json(json), "Invalid JSON")
+        .when(~is_object(json, text), "Manifest root value must be an object")
+        .when(run_id.isNull() | other_type, "Manifest must contain a string run_id")
         .when(~valid_run_id(run_id), "Run ID is not safe")
         .when(run_id != file_stem, "Manifest run_id does not match its filename")
     )
 
 
-def stages_error(text: Column) -> Column:
+def stages_error(json: Column) -> Column:
     """Problem text when ``stages`` is present but not a list."""
-    kind = member_type(text, "$.stages")
+    kind = _member_type(json, "$.stages")
     return F.when(~kind.startswith("ARRAY"), "Pipeline manifest stages must be a list")
 
 

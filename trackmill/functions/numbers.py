@@ -6,26 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Bound on the relative error of one product of doubles, with a margin.
+_PRODUCT_ERROR = 2.3e-16
+
+
 def py_round(x: Column, digits: int) -> Column:
     """Round the exact binary value half-to-even, as Python's ``round`` does.
 
-    Away from ties ``rint(x * 10^d) / 10^d`` is already the correctly rounded
-    result and stays in generated arithmetic. Near a tie, or for huge numbers,
-    the scaled product is not trustworthy, so those rows alone go through
-    decimal formatting. NaN and infinities pass through; -0.0 becomes 0.0.
+    When the scaled product is further from a tie than its own rounding error,
+    ``rint(x * 10^d) / 10^d`` is already the correctly rounded result and stays
+    in generated arithmetic. Only rows near a tie, and numbers too large for
+    that, go through decimal formatting. NaN and infinities pass through; -0.0
+    becomes 0.0.
     """
     scale = F.lit(float(10**digits))
     scaled = x * scale
     nearest = F.rint(scaled)
-    safe = (F.abs(scaled - nearest) < 0.499) & (F.abs(scaled) < 1e12)
+    off = F.abs(scaled - nearest) + F.abs(scaled) * _PRODUCT_ERROR
     pattern = "0." + "0" * digits if digits else "0"
-    formatted = F.call_function("format_number", x, F.lit(pattern)).cast("double")
-    return (
-        F.when(safe, nearest / scale)
-        .when(is_finite(x), formatted)
-        .otherwise(x)
-        + F.lit(0.0)
-    )
+    formatted = F.call_function("format_number", x, F.lit(pattern)).try_cast("double")
+    by_text = F.coalesce(formatted, x)
+    # The formatter loses the lone digit 5 right behind the last kept place.
+    lone = float(f"5e-{digits + 1}")
+    if round(lone, digits) > 0:
+        by_text = F.when(F.abs(x) == lone, F.signum(x) * round(lone, digits)).otherwise(by_text)
+    return F.when(off < 0.499999, nearest / scale).otherwise(by_text) + F.lit(0.0)
 
 
 def is_finite(x: Column) -> Column:

@@ -11,8 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.functions.checks import QUALITY_LEVELS, valid_run_id
-from trackmill.functions.documents import canonical_json, manifest_error, stages_error
+from trackmill.functions.checks import valid_run_id
+from trackmill.functions.documents import (
+    canonical_json,
+    manifest_error,
+    stages_error,
+    with_json,
+)
 from trackmill.functions.grading import StableThresholds
 from trackmill.functions.numbers import py_round
 from trackmill.operators import (
@@ -485,9 +490,6 @@ def run_final(spark, sf_dir):
     )
 
 
-_FAILED_TEXT = "'[' || '{\"run_id\":\"' || run_id || '\"}' || ']'"
-
-
 def _damaged(spark, sf_dir):
     """Documents, each kind of run damaged in its own way."""
     status = F.get_json_object("manifest_json", "$.status")
@@ -519,8 +521,9 @@ def _damaged(spark, sf_dir):
     )
 )
 def manifest_checks(spark, sf_dir):
-    return _damaged(spark, sf_dir).select(
-        "run_id", manifest_error(F.col("manifest_json"), F.col("run_id")).alias("error")
+    error = manifest_error(F.col("json"), F.col("manifest_json"), F.col("run_id"))
+    return with_json(_damaged(spark, sf_dir), "manifest_json").select(
+        "run_id", error.alias("error")
     )
 
 
@@ -537,8 +540,8 @@ def stage_list_checks(spark, sf_dir):
     damaged = F.when(
         status != "completed", F.replace(text, F.lit('"stages":['), F.lit('"stages":null,"old":['))
     ).otherwise(text)
-    documents_ = samples.manifests(spark, sf_dir)
-    return documents_.select("run_id", stages_error(damaged).alias("error"))
+    texts = samples.manifests(spark, sf_dir).select("run_id", damaged.alias("text"))
+    return with_json(texts, "text").select("run_id", stages_error(F.col("json")).alias("error"))
 
 
 @query(

@@ -16,6 +16,8 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "12
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
+        # Larger generated methods are never JIT-compiled; Spark then uses smaller ones.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

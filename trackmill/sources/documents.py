@@ -12,6 +12,7 @@ from trackmill.functions.documents import (
     manifest_error,
     parse_metrics,
     stages_error,
+    with_json,
 )
 
 # Error texts of a metrics document.
@@ -44,14 +45,18 @@ def scan_manifests(
     if names is not None:
         files = files.where(name.isin(names))
     stem = F.regexp_replace("file_name", r"\.json$", "")
+    texts = files.select(
+        F.col("_metadata.file_path").alias("path"),
+        name.alias("file_name"),
+        F.col("value").alias("manifest_json"),
+    )
+    json, text = F.col("json"), F.col("manifest_json")
     return (
-        files.select(
-            F.col("_metadata.file_path").alias("path"),
-            name.alias("file_name"),
-            F.col("value").alias("manifest_json"),
-        )
-        .withColumn("error", manifest_error(F.col("manifest_json"), stem))
+        with_json(texts, "manifest_json")
+        .withColumn("error", manifest_error(json, text, stem))
+        .withColumn("stages_error", stages_error(json))
         .withColumn("run_id", F.when(F.col("error").isNull(), stem))
+        .drop("json")
     )
 
 
@@ -83,7 +88,7 @@ def read_manifest(spark: SparkSession, folder: str, run_id: str) -> DataFrame:
 
 def importable(scan: DataFrame) -> DataFrame:
     """Scan rows with the stage-list check added to their error."""
-    return scan.withColumn("error", F.coalesce("error", stages_error(F.col("manifest_json"))))
+    return scan.withColumn("error", F.coalesce("error", "stages_error"))
 
 
 def import_report(scan: DataFrame, run_count: DataFrame) -> DataFrame:
@@ -115,21 +120,22 @@ def metrics_availability(runs: DataFrame, texts: DataFrame) -> DataFrame:
 
     An absent, broken or non-object document leaves ``available`` false with a reason.
     """
-    text = F.col("metrics_json")
+    text, json = F.col("metrics_json"), F.col("json")
     error = (
         F.when(text.isNull(), METRICS_MISSING)
-        .when(~is_json(text), METRICS_INVALID)
-        .when(~is_object(text), METRICS_NOT_OBJECT)
+        .when(~is_json(json), METRICS_INVALID)
+        .when(~is_object(json, text), METRICS_NOT_OBJECT)
     )
+    joined = runs.join(texts.select("run_id", "metrics_json"), "run_id", "left")
     return (
-        runs.join(texts.select("run_id", "metrics_json"), "run_id", "left")
+        with_json(joined, "metrics_json")
         .withColumn("processing_metrics_error", error)
         .withColumn("processing_metrics_available", F.col("processing_metrics_error").isNull())
         .withColumn(
             "processing_metrics",
             F.when(F.col("processing_metrics_available"), parse_metrics(text)),
         )
-        .drop("metrics_json")
+        .drop("metrics_json", "json")
     )
 
 

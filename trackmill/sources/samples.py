@@ -336,7 +336,8 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         closed_runs(spark, sf_dir)
-        .join(lists, "run_id", "left")
+        # Building a document is heavy, so the rows are spread instead of broadcast to.
+        .join(lists.hint("merge"), "run_id", "left")
         .select(
             "run_id",
             F.to_json(document, {"ignoreNullFields": "false"}).alias("manifest_json"),
