@@ -14,13 +14,11 @@ FLOAT_CELL = (
     r"(?i)\A\s*[+-]?((\d+(_\d+)*)(\.(\d+(_\d+)*)?)?(e[+-]?\d+(_\d+)*)?"
     r"|\.\d+(_\d+)*(e[+-]?\d+(_\d+)*)?|nan|inf|infinity)\s*\z"
 )
-_NO_NULL_TEXT = "\u0001"
-
 
 def _typed(name: str, kind: str) -> Column:
     cell = F.col(name)
     if kind == "string":
-        return cell
+        return F.coalesce(cell, F.lit(""))  # the reader turns empty text into null
     pattern = INTEGER_CELL if kind == "bigint" else FLOAT_CELL
     plain = F.regexp_replace(F.trim(cell), "_", "")
     return F.when(cell.rlike(pattern), plain.try_cast(kind))
@@ -47,7 +45,6 @@ def scan_text(
             multiLine=multiline,
             quote='"',
             escape='"',
-            nullValue=_NO_NULL_TEXT,
         )
     finally:
         spark.conf.set(inference, before)
