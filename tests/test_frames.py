@@ -3,7 +3,7 @@ import random
 import pytest
 
 from trackmill.operators import frames
-from trackmill.operators.detections import observations
+from trackmill.operators.detections import explode_messages, observations
 from trackmill.operators.prefix import running_totals
 
 BOXES = (
@@ -36,6 +36,16 @@ def test_observations_use_unrounded_corners(spark):
     assert row.x1 == round(1.005, 2)
 
 
+def test_detection_messages(spark):
+    rows = spark.createDataFrame(
+        [("cam", 1.0, [(1, "car", 0.5, 1.0, 2.0, 3.0, 4.0), (2, "bus", 0.6, 0.0, 0.0, 1.0, 1.0)]),
+         ("cam", 2.0, [])],
+        "sensor_id string, timestamp double, detections array<struct<object_id: bigint, "
+        "label: string, confidence: double, x: double, y: double, width: double, height: double>>")
+    assert [(r.object_id, r.label) for r in explode_messages(rows).collect()] == [
+        (1, "car"), (2, "bus")]
+
+
 def test_empty_frames_count(spark):
     frame_rows, boxes = tables(
         spark, [("run-a", i) for i in range(1, 5)], [box(1, 7), box(1, 8), box(2, None), box(4, 7)]

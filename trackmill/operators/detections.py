@@ -13,6 +13,11 @@ DEFAULT_FPS = 30.0
 TIME_DIGITS, CONFIDENCE_DIGITS, GEOMETRY_DIGITS = 3, 4, 2
 
 
+def explode_messages(messages: DataFrame) -> DataFrame:
+    """One row per detection of ``sensor_id, timestamp, detections array<struct>``."""
+    return messages.select("sensor_id", "timestamp", F.inline("detections"))
+
+
 def effective_fps(fps: Column) -> Column:
     """Source frame rate, or the default when it is not positive."""
     return F.when(fps <= 0, DEFAULT_FPS).otherwise(fps)

@@ -24,7 +24,8 @@ def running_totals(
     running block offsets are joined back, and the window runs inside a block,
     which has at most ``width`` rows.
     """
-    block = F.expr(f"`{position}` div {int(width)}")
+    # Without a null block both uses of the rows get the same plan and share one shuffle.
+    block = F.coalesce(F.expr(f"`{position}` div {int(width)}"), F.lit(0))
     blocked = rows.withColumn("_block", block)
     offsets = blocked.groupBy(key, "_block").agg(*[F.sum(v).alias(f"_{v}") for v in values])
     before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

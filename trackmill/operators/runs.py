@@ -13,8 +13,7 @@ from trackmill.functions.documents import (
     truthy,
 )
 from trackmill.functions.numbers import exact_sum, py_round
-from trackmill.operators.tracks import quality_counts
-from trackmill.operators.validation import run_track_problems
+from trackmill.operators.validation import track_report
 from trackmill.schemas import RUN_COLUMNS, STAGE_FIELDS
 
 _TIME_DIGITS = 3
@@ -258,9 +257,7 @@ def with_track_counts(runs: DataFrame, tracks: DataFrame) -> DataFrame:
     A run whose track rows break a rule keeps the reason and a stored count of zero.
     """
     done = F.col("status") == "completed"
-    joined = runs.join(quality_counts(tracks), "run_id", "left").join(
-        run_track_problems(tracks), "run_id", "left"
-    )
+    joined = runs.join(track_report(tracks), "run_id", "left")
     stored = done & F.col("problem").isNull()
     return joined.select(
         *runs.columns,

@@ -70,23 +70,30 @@ def duplicate_keys(tracks: DataFrame, keys: tuple[str, ...] = ("run_id", "track_
     return counts.where(F.col("copies") > 1)
 
 
-def run_track_problems(tracks: DataFrame) -> DataFrame:
-    """One problem text for each run whose tracks may not be stored."""
-    rows = with_violations(tracks).select(
-        "run_id", "track_id", F.get("violations", 0).alias("problem")
+def track_report(tracks: DataFrame) -> DataFrame:
+    """Level counts and the first storage problem of every run, in one pass.
+
+    Grouping by track first finds repeated ids; freshly summarized tracks are
+    already partitioned that way, and the run-level step combines map-side.
+    """
+    level = F.col("quality_level")
+    per_track = with_violations(tracks).groupBy("run_id", "track_id").agg(
+        F.count("*").alias("total"),
+        F.min(F.get("violations", 0)).alias("problem"),
+        *[F.count_if(level == name).alias(name) for name in QUALITY_LEVELS],
     )
-    per_track = rows.groupBy("run_id", "track_id").agg(
-        F.count("*").alias("copies"), F.min("problem").alias("problem")
-    )
-    problem = F.coalesce("problem", F.when(F.col("copies") > 1, DUPLICATE_TEXT))
-    return (
-        per_track.select("run_id", problem.alias("problem"))
-        .where(F.col("problem").isNotNull())
-        .groupBy("run_id")
-        .agg(F.min("problem").alias("problem"))
+    problem = F.coalesce("problem", F.when(F.col("total") > 1, DUPLICATE_TEXT))
+    return per_track.groupBy("run_id").agg(
+        *[F.sum(name).alias(name) for name in (*QUALITY_LEVELS, "total")],
+        F.min(problem).alias("problem"),
     )
 
 
+def run_track_problems(tracks: DataFrame) -> DataFrame:
+    """One problem text for each run whose tracks may not be stored."""
+    return track_report(tracks).where(F.col("problem").isNotNull()).select("run_id", "problem")
+
+
 def orphans(tracks: DataFrame, runs: DataFrame) -> DataFrame:
     """Tracks of runs that are not known."""
     return tracks.join(runs.select("run_id"), "run_id", "left_anti")

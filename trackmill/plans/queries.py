@@ -116,10 +116,13 @@ class Store:
 
     def latest_run(self) -> DataFrame:
         """Document of the run that started last, finished or not."""
-        started = parsed(self._documents()).select(
-            "run_id", "manifest_json", F.col("m.started_at_utc").alias("started_at_utc")
-        )
-        return started.orderBy(F.col("started_at_utc").desc_nulls_last(), F.desc("run_id")).limit(1)
+        if self.run_source == "table":
+            started = tables.read_runs(self.spark, self.root)
+        else:
+            m = F.col("m.started_at_utc")
+            started = parsed(self._documents()).withColumn("started_at_utc", m)
+        newest = [F.col("started_at_utc").desc_nulls_last(), F.desc("run_id")]
+        return started.orderBy(*newest).limit(1).select("run_id", "manifest_json")
 
     def run(self, run_id: str) -> DataFrame:
         """Document of one run; no row when it does not exist."""
