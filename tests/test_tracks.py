@@ -74,6 +74,11 @@ def test_label_tie_goes_to_the_label_seen_first(spark):
     assert tracks.summarize(observed(spark, rows)).first().dominant_label == "bus"
 
 
+def test_observations_without_positions(spark):
+    rows = observed(spark, TRACK_SEVEN)
+    assert tracks.summarize(rows.drop("seq")).collect() == tracks.summarize(rows).collect()
+
+
 def test_time_running_backwards_gives_zero_duration(spark):
     rows = [observation(1, 1, 3.0, "car", 0.5, 0.0, 0.0), observation(1, 2, 1.0, "car", 0.5, 0.0, 0.0)]
     assert tracks.summarize(observed(spark, rows)).first().duration_seconds == 0.0

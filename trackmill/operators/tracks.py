@@ -19,12 +19,14 @@ def summarize(observations: DataFrame) -> DataFrame:
     sees one row per track and label; both combine map-side, so a track that
     holds a large part of all rows still reaches its reducer as one row per
     input partition. Rows are ordered by frame, then by ``seq`` (their position
-    in the recording), which also decides label ties: the label seen first wins.
+    in the recording, if there), which also decides label ties: the label seen
+    first wins.
     """
     whole, rest = sum_parts(F.col("confidence"), _CONFIDENCE_DIGITS)
+    seq = F.col("seq") if "seq" in observations.columns else F.lit(0)
     moment = F.struct(
         F.col("frame_number").alias("frame"),
-        F.col("seq").alias("seq"),
+        seq.alias("seq"),
         F.col("timestamp_seconds").alias("seconds"),
         F.col("center_x").alias("x"),
         F.col("center_y").alias("y"),
