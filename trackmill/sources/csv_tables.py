@@ -142,12 +142,17 @@ def write_evaluated(rows: DataFrame, path: str) -> int:
     return _write(rows, path, EVALUATED_COLUMNS, "track_id", [])
 
 
-def exists(spark: SparkSession, path: str, form: str = "binaryFile") -> bool:
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a scan failed because its path does not exist."""
+    return "PATH_NOT_FOUND" in str(error)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path can be scanned."""
     try:
-        spark.read.format(form).load(path).schema
+        spark.read.format("binaryFile").load(path)
     except AnalysisException as error:
-        if "PATH_NOT_FOUND" in str(error):
+        if is_missing(error):
             return False
         raise
     return True

@@ -11,6 +11,7 @@ drop markers.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from trackmill.operators.runs import explode_stages, flatten
 from trackmill.operators.tracks import quality_counts
 from trackmill.operators.validation import orphans, run_track_problems
 from trackmill.schemas import EVALUATED_COLUMNS, RUN_COLUMNS, STAGE_FIELDS, ddl
-from trackmill.sources.csv_tables import exists
+from trackmill.sources.csv_tables import exists, is_missing
 from trackmill.sources.documents import import_report, importable, scan_manifests
 
 RUN_TABLE = RUN_COLUMNS | {"manifest_json": "string"}
@@ -36,9 +37,13 @@ def run_shard(run_id: Column) -> Column:
 
 def _scan(spark: SparkSession, path: str, columns: dict[str, str], key: str) -> DataFrame:
     """Table without markers; an absent table is an empty one."""
-    if not exists(spark, path):
-        return spark.createDataFrame([], ddl(columns))
-    return spark.read.schema(ddl(columns)).parquet(path).where(F.col(key).isNotNull())
+    try:
+        table = spark.read.schema(ddl(columns)).parquet(path)
+    except AnalysisException as error:
+        if is_missing(error):
+            return spark.createDataFrame([], ddl(columns))
+        raise
+    return table.where(F.col(key).isNotNull())
 
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -120,14 +125,14 @@ def _rewrite_shards(
     shard = run_shard(F.col("run_id"))
     fresh = rows.select(*columns).withColumn("run_shard", shard)
     gone = _absent(runs, rows).select("run_id", shard.alias("run_shard"))
-    result = fresh.unionByName(gone, allowMissingColumns=True)
-    if exists(spark, path):
-        old = _scan(spark, path, columns | _SHARD, key)
-        touched = runs.select(shard.alias("run_shard")).distinct()
-        kept = old.join(touched, "run_shard", "left_semi").join(
-            runs.select("run_id"), "run_id", "left_anti"
-        )
-        result = kept.select(*columns, "run_shard").unionByName(result)
+    touched = runs.select(shard.alias("run_shard")).distinct()
+    kept = (
+        _scan(spark, path, columns | _SHARD, key)
+        .join(touched, "run_shard", "left_semi")
+        .join(runs.select("run_id"), "run_id", "left_anti")
+        .select(*columns, "run_shard")
+    )
+    result = kept.unionByName(fresh).unionByName(gone, allowMissingColumns=True)
     _overwrite(result, path, "run_shard", ["run_id"])
 
 
