@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import sharding, url_filters
+from . import quality, sharding, toxicity, url_filters
 from .shared import table
 
 
+def op1_toxicity(spark, folder):
+    return toxicity.documents_to_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op3_quality_rules(spark, folder):
+    return quality.documents_to_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_url_filters(spark, folder):
     return url_filters.pages_to_verdicts(table(spark, folder, "pages"))
 
@@ -15,6 +23,8 @@ def op6_sharding(spark, folder):
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op6_sharding": op6_sharding,
 }
