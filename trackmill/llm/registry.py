@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality, sharding, toxicity, url_filters
+from . import decontamination, pieces, quality, sharding, toxicity, url_filters
 from .shared import table
 
 
@@ -22,11 +22,21 @@ def op6_sharding(spark, folder):
     return sharding.documents_to_shards(table(spark, folder, "documents"))
 
 
+def op8_benchmark_decontamination(spark, folder):
+    return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_sentencepiece(spark, folder):
+    return pieces.documents_to_pieces(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op6_sharding": op6_sharding,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 SQL = {"op4_url_filters": url_filters.SQL}
