@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, pieces, quality, sharding, toxicity, url_filters
+from . import chunks, decontamination, pieces, quality, sharding, toxicity, url_filters, wrappers
 from .shared import table
 
 
@@ -18,10 +18,18 @@ def op4_url_filters(spark, folder):
     return url_filters.pages_to_verdicts(table(spark, folder, "pages"))
 
 
+def op5_html_extraction(spark, folder):
+    return wrappers.pages_to_texts(table(spark, folder, "pages"))
+
+
 def op6_sharding(spark, folder):
     return sharding.documents_to_shards(table(spark, folder, "documents"))
 
 
+def op7_substring_dedup(spark, folder):
+    return chunks.documents_to_repeats(table(spark, folder, "documents"))
+
+
 def op8_benchmark_decontamination(spark, folder):
     return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -34,7 +42,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
+    "op5_html_extraction": op5_html_extraction,
     "op6_sharding": op6_sharding,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_sentencepiece": op10_sentencepiece,
 }
