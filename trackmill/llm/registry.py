@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontamination, pieces, quality, sharding, toxicity, url_filters, wrappers
+from . import chunks, decontamination, pieces, quality, sharding, suffixes, toxicity, url_filters, wrappers
 from .shared import table
 
 
@@ -34,6 +34,10 @@ def op8_benchmark_decontamination(spark, folder):
     return decontamination.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_suffix_array_dedup(spark, folder):
+    return suffixes.documents_to_cuts(table(spark, folder, "documents"))
+
+
 def op10_sentencepiece(spark, folder):
     return pieces.documents_to_pieces(table(spark, folder, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
