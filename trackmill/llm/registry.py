@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontamination, pieces, quality, sharding, suffixes, toxicity, url_filters, wrappers
+from . import chunks, decontamination, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
 from .shared import table
 
 
@@ -10,6 +10,10 @@ def op1_toxicity(spark, folder):
     return toxicity.documents_to_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op2_ngram_jaccard_join(spark, folder):
+    return similarity.documents_to_components(table(spark, folder, "documents"))
+
+
 def op3_quality_rules(spark, folder):
     return quality.documents_to_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -44,6 +48,7 @@ def op10_sentencepiece(spark, folder):
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filters": op4_url_filters,
     "op5_html_extraction": op5_html_extraction,
