@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ SCALE = 1 << 20
 #: Score of a byte piece, below every other piece.
 BYTE_SCORE = -20 * SCALE
 #: Cached word encodings per task.
-CACHE = 200_000
+CACHE = 400_000
 NEVER = -(1 << 60)
 SPACE = "▁"
 
@@ -37,9 +38,20 @@ class Vocabulary:
         self.ids = pieces
         order = sorted(pieces, key=pieces.get)
         self.scores = {p: -round(SCALE * math.log(r + 2)) for r, p in enumerate(order)}
-        self.beginnings = {p[:i] for p in pieces for i in range(1, len(p) + 1)}
-        self.longest = max(map(len, pieces), default=1)
         self.texts = {i: p.encode() for p, i in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        #: Nested by characters; the empty key holds the score of the piece that ends there.
+        self.trie: dict = {}
+        for piece, score in self.scores.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = score
+        last = max(self.texts, default=-1) + 1
+        parts = [self.texts.get(i, b"") for i in range(last)]
+        self.sizes = np.array([len(p) for p in parts], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(parts), np.uint8)
+        self.longest = max(map(len, pieces), default=1)
         #: No piece spans a blank after another character, or a line break: paths meet there.
         self.meets = not any(re.search(r"[^ ] |\n", p) for p in pieces)
 
@@ -57,30 +69,29 @@ class Vocabulary:
                 pieces.setdefault(piece.replace(SPACE, " "), i)
         return cls(pieces, byte_ids)
 
-    def steps(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        """Ends and scores of the pieces that begin at a place."""
-        single = False
-        for end in range(at + 1, min(len(text), at + self.longest) + 1):
-            part = text[at:end]
-            if part not in self.beginnings:
-                break
-            score = self.scores.get(part)
-            if score is not None:
-                single = single or end == at + 1
-                yield end, score
-        if not single:
-            yield at + 1, BYTE_SCORE * len(text[at].encode())
-
     def paths(self, text: str, entry: dict[int, int], last: int) -> tuple[list[int], list[int]]:
         """Best score to reach each place from the entry places and the piece begin it came from; pieces begin before ``last``."""
-        best, back = [NEVER] * (len(text) + 1), [-1] * (len(text) + 1)
+        n, root = len(text), self.trie
+        best, back = [NEVER] * (n + 1), [-1] * (n + 1)
         for at, score in entry.items():
             best[at] = score
-        for at in range(min(last, len(text))):
-            if best[at] > NEVER:
-                for end, score in self.steps(text, at):
-                    if best[at] + score > best[end]:
-                        best[end], back[end] = best[at] + score, at
+        for at in range(min(last, n)):
+            here = best[at]
+            if here == NEVER:
+                continue
+            node = root
+            for end in range(at, n):
+                node = node.get(text[end])
+                if node is None:
+                    break
+                if "" in node:
+                    score = here + node[""]
+                    if score > best[end + 1]:
+                        best[end + 1], back[end + 1] = score, at
+            if "" not in root.get(text[at], ()):
+                score = here + BYTE_SCORE * len(text[at].encode())
+                if score > best[at + 1]:
+                    best[at + 1], back[at + 1] = score, at
         return best, back
 
     def trace(self, text: str, back: list[int], start: int, end: int) -> list[int]:
@@ -96,73 +107,75 @@ class Vocabulary:
         return out[::-1]
 
     def decode(self, ids) -> bytes:
-        return b"".join([self.texts.get(i, b"") for i in ids])
+        """The bytes of the pieces; ids outside the vocabulary have none."""
+        ids = np.asarray(ids, np.int64)
+        ids = ids[(ids >= 0) & (ids < len(self.sizes))]
+        sizes = self.sizes[ids]
+        shift = self.starts[ids] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.arange(sizes.sum()) + np.repeat(shift, sizes)].tobytes()
 
 
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
 
 
+class _Cache(dict):
+    """Ids of words as bytes, computed when first asked for."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, text: str) -> bytes:
+        _, back = self.vocabulary.paths(text, {0: 0}, len(text))
+        found = np.array(self.vocabulary.trace(text, back, 0, len(text)), np.int32).tobytes()
+        if len(text) < 64:
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = found
+        return found
+
+
 class Encoder:
     """Encodes stretches between meeting places, each word once per cache."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.seen: dict[str, tuple[int, bytes]] = {}
-
-    def unit(self, text: str) -> tuple[int, bytes]:
-        """Score and ids of a stretch."""
-        known = self.seen.get(text)
-        if known is None:
-            best, back = self.vocabulary.paths(text, {0: 0}, len(text))
-            known = best[-1], np.array(self.vocabulary.trace(text, back, 0, len(text)), np.int32).tobytes()
-            if len(self.seen) >= CACHE:
-                self.seen.clear()
-            if len(text) < 64:
-                self.seen[text] = known
-        return known
+        self.seen = _Cache(vocabulary)
 
     def units(self, text: str) -> list[str]:
         return _UNIT.findall(text) if self.vocabulary.meets else [text] * bool(text)
 
     def encode(self, text: str) -> np.ndarray:
-        get, parts = self.seen.get, []
-        for u in self.units(text):
-            known = get(u) or self.unit(u)
-            parts.append(known[1])
-        return np.frombuffer(b"".join(parts), np.int32)
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, self.units(text))), np.int32)
 
     def _cuts(self, text: str, first: int, last: int) -> tuple[int, int]:
         """The first and last meeting place in a range, or -1."""
         if not self.vocabulary.meets:
             return -1, -1
-        found = [m.start() for m in _UNIT.finditer(text) if first <= m.start() <= last and m.start() and _meets(text, m.start())]
-        return (found[0], found[-1]) if found else (-1, -1)
+        places = (range(max(first, 1), min(last, len(text) - 1) + 1), range(min(last, len(text) - 1), max(first, 1) - 1, -1))
+        return tuple(next((at for at in order if _meets(text, at)), -1) for order in places)
 
     def transfer(self, text: str, size: int) -> np.ndarray:
         """Best scores from entering ``i`` code points late to leaving ``j`` code points late.
 
         ``text`` has up to longest - 1 code points behind the chunk of ``size`` for pieces
-        that reach over its end. Between meeting places no state is open, so only the ends
-        of the chunk need more than one state.
+        that reach over its end. All paths run through the first and the last meeting place;
+        what lies between adds the same to every entry, changes no choice and is left out.
         """
         m = self.vocabulary.longest
         out = np.full((m, m), NEVER, np.int64)
         first, last = self._cuts(text, m, size)
-        leave = lambda best: [best[size + j] if size + j < len(best) else NEVER for j in range(m)]
+        leave = lambda best: np.array([best[size + j] if size + j < len(best) else NEVER for j in range(m)])
         if first >= 0:
-            middle = sum((self.seen.get(u) or self.unit(u))[0] for u in self.units(text[first:last]))
-            tail = np.array(leave(_shifted(self.vocabulary, text, last, size)))
-        for i in range(min(m, size + 1)):
-            if first >= 0:
+            tail = leave([NEVER] * last + self.vocabulary.paths(text[last:], {0: 0}, size - last)[0])
+        for i in range(m):
+            if i >= size:  # entering behind the chunk
+                out[i, i - size] = 0
+            elif first >= 0:
                 head = self.vocabulary.paths(text[i:first], {0: 0}, first - i)[0][-1]
-                row = np.where(tail > NEVER, head + middle + tail, NEVER)
+                out[i] = np.where(tail > NEVER, head + tail, NEVER)
             else:
-                row = np.array(leave(self.vocabulary.paths(text, {i: 0}, size)[0]))
-            out[i] = row
-        if size < m:  # entering behind the chunk
-            for i in range(size, m):
-                out[i] = NEVER
-                out[i, i - size] = 0
+                out[i] = leave(self.vocabulary.paths(text, {i: 0}, size)[0])
         return out
 
     def between(self, text: str, size: int, enter: int, leave: int) -> np.ndarray:
@@ -187,11 +200,6 @@ def _meets(text: str, at: int) -> bool:
     return text[at - 1] == "\n" or text[at] == "\n" or (text[at] == " " and text[at - 1] != " ")
 
 
-def _shifted(vocabulary: Vocabulary, text: str, last: int, size: int) -> list[int]:
-    """Best scores of all places from ``last`` on, counted from the chunk's begin."""
-    return [NEVER] * last + vocabulary.paths(text[last:], {0: 0}, size - last)[0]
-
-
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product; associative."""
     sums = a[:, :, None] + b[None, :, :]
@@ -210,6 +218,18 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     return found[::-1]
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def _encoder(shared: Broadcast) -> Encoder:
+    """One encoder per worker process, so its cache serves all tasks there."""
+    key = id(shared.value)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(shared.value)
+    return _encoders[key]
+
+
 def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids and round_trip of every document.
 
@@ -227,7 +247,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size: the vocabulary
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             for part in _slices(batch):
                 ids, n_chars, right = [], [], []
@@ -252,7 +272,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     )
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             found = [encoder.transfer(t, n).tobytes() for t, n in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), pa.array(found, pa.binary())], ["digest", "chunk", "matrix"])
@@ -268,7 +288,7 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     bounds = matrices.groupBy("digest").applyInPandas(scan, "digest string, chunk int, enter int, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         for batch in batches:
             ids, right = [], []
             for text, size, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "enter", "leave")), strict=True):
@@ -306,7 +326,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _same(vocabulary: Vocabulary, ids: np.ndarray, text: str) -> bool:
-    return vocabulary.decode(ids.tolist()) == text.encode()
+    return vocabulary.decode(ids) == text.encode()
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
