@@ -17,6 +17,12 @@ from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, settle, shingles,
 COUNTERS, PARTS = 1 << 19, 64
 #: Regions up to this size are compared pair by pair in their second round; larger ones get so many more pivots a round.
 LEAF = 64
+#: Regions up to this size are compared pair by pair at once.
+SMALL = 8
+#: Parts of the shingle universe that act as fixed pivots: a set's distances to them are its counts there.
+FACETS = 32
+#: Up to so many candidate pairs, the ids of their texts (about 60 bytes a row) are broadcast to the scan.
+BROADCAST_PAIRS = 200_000
 
 
 def _shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,20 +44,24 @@ def _set_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _identify(rows: DataFrame, k: int) -> DataFrame:
-    """text_key, set_key and set size of each row."""
+    """text_key, set_key, set size and counts by facet (a byte each, 255 for more) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, raw, offsets in pieces(batch):
                 hashes, bounds = _shingle_sets(raw, offsets, k)
                 kept = [batch.column(c).slice(first, end - first) for c in ("doc_id", "text_key")]
+                n = np.diff(bounds)
+                facet = (hashes >> np.uint64(40)) % np.uint64(FACETS)
+                cell = np.repeat(np.arange(len(n)), n) * FACETS + facet.astype(np.int64)
+                counts = np.minimum(np.bincount(cell, minlength=len(n) * FACETS), 255).astype(np.uint8).reshape(-1, FACETS)
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(_set_keys(hashes, bounds)), pa.array(np.diff(bounds).astype(np.int64))],
-                    ["doc_id", "text_key", "set_key", "n_shingles"],
+                    [*kept, pa.array(_set_keys(hashes, bounds)), pa.array(n.astype(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary())],
+                    ["doc_id", "text_key", "set_key", "n_shingles", "facets"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, set_key long, n_shingles long")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, set_key long, n_shingles long, facets binary")
 
 
 def _sketch(rows: DataFrame, k: int) -> np.ndarray:
@@ -121,8 +131,36 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
     return rows.select("set_key", "text").mapInArrow(run, "set_key long, items array<long>")
 
 
-def _measure(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs x, p with the size of their intersection and union."""
+def _possible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that the facets don't rule out.
+
+    By the triangle inequality the symmetric difference of two sets is at least the sum of
+    the differences of their counts in all facets; linked sets differ in
+    (den - num) / (den + num) of their summed sizes at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (
+                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FACETS).astype(np.int16) for c in ("x_facets", "p_facets")
+            )
+            apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
+            sizes = batch.column("sizes").to_numpy()
+            yield batch.select(["x", "p"]).filter(pa.array((den + num) * apart <= (den - num) * sizes))
+
+    facets = known.groupBy("set_key").agg(F.min(F.struct("n_shingles", "facets")).alias("f"))
+    one = facets.select(F.col("set_key").alias("x"), F.col("f.facets").alias("x_facets"), F.col("f.n_shingles").alias("x_n"))
+    two = facets.select(F.col("set_key").alias("p"), F.col("f.facets").alias("p_facets"), F.col("f.n_shingles").alias("p_n"))
+    wide = pairs.join(one, "x").join(two, "p").select("x", "p", "x_facets", "p_facets", (F.col("x_n") + F.col("p_n")).alias("sizes"))
+    return wide.mapInArrow(run, "x long, p long")
+
+
+def _measure(pairs: DataFrame, rows: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """The pairs x, p with the size of their intersection and union, from one text of each set."""
+    needed = pairs.select(F.col("x").alias("set_key")).union(pairs.select(F.col("p"))).distinct()
+    chosen = known.groupBy("set_key").agg(F.min("text_key").alias("text_key")).join(needed, "set_key", "left_semi")
+    chosen = F.broadcast(chosen) if pairs.count() <= BROADCAST_PAIRS else chosen
+    sets = _sets(rows.select("text_key", "text").join(chosen, "text_key"), k).dropDuplicates(["set_key"])
     one = sets.select(F.col("set_key").alias("x"), F.col("items").alias("x_items"))
     two = sets.select(F.col("set_key").alias("p"), F.col("items").alias("p_items"))
     both = F.size(F.array_intersect("x_items", "p_items"))
@@ -167,12 +205,13 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     so many more regions each document is replicated. Linked documents thus meet in a region.
     The order uses a sketch of counts over all documents; any order is exact.
 
-    *Inside.* Equal sets are one member. The pivot of a region is its most central member; all others are
+    *Inside.* Equal sets are one member. Members of small regions are compared pair by pair. The pivot of a larger one is its most central member; all others are
     measured against it, exactly. What links is one class with it and needs no comparison with each
     other. Regions that still hold several classes go on: up to LEAF members are
     compared pair by pair where both distances to the pivot differ by the threshold at most (triangle
     inequality), larger ones get LEAF further pivots and come back. A group of near copies
-    costs about one comparison a copy, not one a pair.
+    costs about one comparison a copy, not one a pair. Before two sets are fetched, their
+    distances to FACETS fixed pivots must allow a link.
 
     Null and empty texts have no shingles and are their own class, as are null ids among
     themselves. Repeated rows and copies share a class. Other columns are not read.
@@ -185,57 +224,51 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     member = F.struct("set_key", "n")
     shared = found.groupBy("region").agg(F.min(member).alias("a"), F.max(member).alias("b"), F.count(F.lit(1)).alias("m"))
     shared = shared.filter("a.set_key <> b.set_key").select("region", "m")
-    members = settle(found.join(shared, "region").groupBy("region", "set_key", "n").agg(F.max("m").alias("m")))
-    score = members.groupBy("set_key").agg(F.sum("m").alias("score"))
-    open_rows = members.select("region", "set_key", "n").join(score, "set_key").withColumn("d", F.lit(None).cast("double"))
-    sets = settle(_needed_sets(rows, known, score, k))
+    members = settle(found.join(shared, "region").distinct())
     close = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
-    links = None
+    # First round: small regions pair by pair, the others against their most central member.
+    small, large = members.filter(F.col("m") <= SMALL), members.filter(F.col("m") > SMALL)
+    other = small.select("region", F.col("set_key").alias("p"), F.col("n").alias("pn"))
+    met = small.join(other, "region").filter(F.col("set_key") > F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
+    score = large.groupBy("set_key").agg(F.sum("m").alias("score"))
+    open_rows = settle(large.join(score, "set_key").select("region", "set_key", "n", "score"))
+    best = open_rows.groupBy("region").agg(F.max(F.struct("score", "set_key", "n")).alias("best"))
+    pivots = best.select("region", F.col("best.set_key").alias("p"), F.col("best.n").alias("pn"))
+    star = open_rows.join(pivots, "region").filter(F.col("set_key") != F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
     limit = 1 - num / den + 1e-9
-    first = True
+    links, round_number = None, 0
     while True:
-        rank = F.row_number().over(W.partitionBy("region").orderBy(F.desc("score"), "set_key"))
-        if first:
-            best = open_rows.groupBy("region").agg(F.max(F.struct("score", "set_key", "n")).alias("best"))
-            pivots = best.select("region", F.col("best.set_key").alias("p"), F.col("best.n").alias("pn"))
-            met = open_rows.join(pivots, "region").filter(F.col("set_key") != F.col("p")).filter(close(F.col("n"), F.col("pn")))
-        else:
-            ranked = open_rows.withColumn("rank", rank)
-            heads = ranked.filter(F.col("rank") <= LEAF).select(
-                "region", F.col("set_key").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("label").alias("pl"), F.col("rank").alias("pr")
-            )
-            near = (F.abs(F.col("d") - F.col("pd")) <= limit) | F.col("d").isNull() | F.col("pd").isNull()
-            met = ranked.join(heads, "region").filter((F.col("rank") > F.col("pr")) & (F.col("label") != F.col("pl")) & near & close(F.col("n"), F.col("pn")))
-        pairs = met.select(F.col("set_key").alias("x"), "p").distinct()
-        measured = settle(_measure(pairs, sets))
+        pairs = (met.union(star) if round_number == 0 else met).select(F.col("set_key").alias("x"), "p").distinct()
+        possible = settle(_possible(pairs, known, num, den))
+        measured = settle(_measure(possible, with_words, known, k))
         linked = measured.filter(den * F.col("both") >= num * F.col("either")).select("x", "p")
         links = linked if links is None else links.union(linked)
         labels = classes(links)
-        if first:
+        if round_number == 0:
             far = measured.select(F.col("x").alias("set_key"), "p", (1 - F.col("both") / F.col("either")).alias("d"))
-            left = open_rows.drop("d").join(pivots.drop("pn"), "region").join(far, ["set_key", "p"], "left").filter(F.col("set_key") != F.col("p")).drop("p")
+            left = open_rows.join(pivots.drop("pn"), "region").filter(F.col("set_key") != F.col("p")).join(far, ["set_key", "p"], "left").drop("p")
         else:
             left = ranked.filter(F.col("rank") > LEAF).drop("rank", "label")
-        label = F.coalesce("label", "set_key")
-        left = left.join(labels, left["set_key"] == labels["node"], "left").withColumn("label", label).drop("node")
+        left = left.join(labels, left["set_key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set_key")).drop("node")
         mixed = left.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
         open_rows = settle(left.join(mixed, "region", "left_semi"))
-        first = False
         if open_rows.isEmpty():
             break
+        round_number += 1
+        rank = F.row_number().over(W.partitionBy("region").orderBy(F.desc("score"), "set_key"))
+        ranked = open_rows.withColumn("rank", rank)
+        heads = ranked.filter(F.col("rank") <= LEAF).select(
+            "region", F.col("set_key").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("label").alias("pl"), F.col("rank").alias("pr")
+        )
+        near = (F.abs(F.col("d") - F.col("pd")) <= limit) | F.col("d").isNull() | F.col("pd").isNull()
+        met = ranked.join(heads, "region").filter((F.col("rank") > F.col("pr")) & (F.col("label") != F.col("pl")) & near & close(F.col("n"), F.col("pn")))
+        met = met.select("set_key", "p")
     class_key = F.when(F.col("n_shingles") > 0, F.coalesce("label", "set_key"))
     named = known.join(labels, known["set_key"] == labels["node"], "left").select("doc_id", "n_shingles", class_key.alias("class_key"))
     smallest = named.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("smallest"))
     return named.join(smallest, "class_key", "left").select("doc_id", "n_shingles", F.coalesce("smallest", "doc_id").alias(name))
 
 
-def _needed_sets(rows: DataFrame, known: DataFrame, score: DataFrame, k: int) -> DataFrame:
-    """Items of the sets that stand in an open region, each from one of its texts."""
-    chosen = known.groupBy("set_key").agg(F.min("text_key").alias("text_key")).join(score.select("set_key"), "set_key", "left_semi")
-    texts = rows.select("text_key", "text").join(chosen, "text_key")
-    return _sets(texts, k).dropDuplicates(["set_key"])
-
-
 def documents_to_components(documents: DataFrame) -> DataFrame:
     """The contract of query op2: four words, 0.85."""
     return components(documents, 4, 85, 100)
