@@ -271,7 +271,7 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tree
 
 def measure(rows: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``carry`` and the statistics of each text."""
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carry] + [f"{c} long" for c in (*COUNTS, *MORE)])
+    schema = T.StructType([*(rows.schema[c] for c in carry), *(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,16 +280,16 @@ def measure(rows: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
                 kept = [batch.column(c).slice(first, end - first) for c in carry]
                 yield pa.RecordBatch.from_arrays(kept + [pa.array(s[c]) for c in (*COUNTS, *MORE)], [*carry, *COUNTS, *MORE])
 
-    return rows.select(*carry, F.col("text").cast("string")).mapInArrow(run, schema)
+    return rows.select(*(c for c in carry if c != "text"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def grade(documents: DataFrame, trees: Trees, threshold: float = 0.35) -> DataFrame:
-    """doc_id, the base statistics, base_failed, score and kept for every document.
+def grade(documents: DataFrame, trees: Trees, threshold: float = 0.35, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``carry``, the base statistics, base_failed, score and kept for every document.
 
-    Null and empty texts have zero words and fail the base rule. Other columns are not
-    read. Repeated rows are graded each. An empty table gives no rows.
+    Null and empty texts have zero words and fail the base rule. Columns outside of ``carry`` are not
+    read, and none of it may have the name of a result. Repeated rows are graded each. An empty table gives no rows.
     """
-    measured = measure(documents)
+    measured = measure(documents, carry)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     schema = T.StructType([*measured.schema.fields, T.StructField("score", T.DoubleType())])
 

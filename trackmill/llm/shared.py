@@ -31,7 +31,7 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``limit`` text bytes each: first row, end row, bytes, row offsets. Null is empty."""
     texts = batch.column(column)
     texts = texts.cast(pa.large_binary()) if not pa.types.is_large_binary(texts.type) else texts

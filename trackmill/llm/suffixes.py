@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import BYTE_VALUES, pieces, prefix_hash, settle, span_hash
 
@@ -226,8 +227,9 @@ def cut_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
             arrays = [pa.array(v, kinds.get(n, pa.int64())) for n, v in out.items()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *arrays], [*keep, *out])
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
-    return spans.mapInArrow(run, f"{kinds}, text string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    added = [("text", T.StringType()), *((n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", T.StringType())]
+    schema = T.StructType([*(spans.schema[c] for c in keep), *(T.StructField(n, kind) for n, kind in added)])
+    return spans.mapInArrow(run, schema)
 
 
 def documents_to_cuts(documents: DataFrame) -> DataFrame:
