@@ -21,6 +21,8 @@ LEAF = 64
 SMALL = 8
 #: Parts of the shingle universe that act as fixed pivots: a set's distances to them are its counts there.
 FACETS = 32
+#: Sets from this size on have finer facets as well, for a few pivots tell little about large sets.
+FINE, FINE_FROM = 256, 700
 #: Up to so many candidate pairs, the ids of their texts (about 60 bytes a row) are broadcast to the scan.
 BROADCAST_PAIRS = 200_000
 
@@ -52,16 +54,26 @@ def _identify(rows: DataFrame, k: int) -> DataFrame:
                 hashes, bounds = _shingle_sets(raw, offsets, k)
                 kept = [batch.column(c).slice(first, end - first) for c in ("doc_id", "text_key")]
                 n = np.diff(bounds)
-                facet = (hashes >> np.uint64(40)) % np.uint64(FACETS)
-                cell = np.repeat(np.arange(len(n)), n) * FACETS + facet.astype(np.int64)
-                counts = np.minimum(np.bincount(cell, minlength=len(n) * FACETS), 255).astype(np.uint8).reshape(-1, FACETS)
+                coarse, fine = (_facets(hashes, n, m) for m in (FACETS, FINE))
                 yield pa.RecordBatch.from_arrays(
-                    [*kept, pa.array(_set_keys(hashes, bounds)), pa.array(n.astype(np.int64)), pa.array([c.tobytes() for c in counts], pa.binary())],
-                    ["doc_id", "text_key", "set_key", "n_shingles", "facets"],
+                    [
+                        *kept,
+                        pa.array(_set_keys(hashes, bounds)),
+                        pa.array(n.astype(np.int64)),
+                        pa.array([c.tobytes() for c in coarse], pa.binary()),
+                        pa.array([c.tobytes() if size >= FINE_FROM else b"" for c, size in zip(fine, n, strict=True)], pa.binary()),
+                    ],
+                    ["doc_id", "text_key", "set_key", "n_shingles", "facets", "fine"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, set_key long, n_shingles long, facets binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, set_key long, n_shingles long, facets binary, fine binary")
+
+
+def _facets(hashes: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
+    facet = (hashes >> np.uint64(40)) % np.uint64(m)
+    cell = np.repeat(np.arange(len(n)), n) * m + facet.astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(n) * m), 255).astype(np.uint8).reshape(-1, m)
 
 
 def _sketch(rows: DataFrame, k: int) -> np.ndarray:
@@ -141,20 +153,27 @@ def _possible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, two = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, FACETS).astype(np.int16) for c in ("x_facets", "p_facets")
-            )
-            apart = np.abs(one - two).sum(axis=1, dtype=np.int64)
             sizes = batch.column("sizes").to_numpy()
+            apart = _apart(batch.column("x_facets").to_pylist(), batch.column("p_facets").to_pylist())
+            x_fine, p_fine = batch.column("x_fine").to_pylist(), batch.column("p_fine").to_pylist()
+            both = np.flatnonzero([len(a) > 0 and len(b) > 0 for a, b in zip(x_fine, p_fine, strict=True)])
+            apart[both] = np.maximum(apart[both], _apart([x_fine[i] for i in both], [p_fine[i] for i in both]))
             yield batch.select(["x", "p"]).filter(pa.array((den + num) * apart <= (den - num) * sizes))
 
-    facets = known.groupBy("set_key").agg(F.min(F.struct("n_shingles", "facets")).alias("f"))
-    one = facets.select(F.col("set_key").alias("x"), F.col("f.facets").alias("x_facets"), F.col("f.n_shingles").alias("x_n"))
-    two = facets.select(F.col("set_key").alias("p"), F.col("f.facets").alias("p_facets"), F.col("f.n_shingles").alias("p_n"))
-    wide = pairs.join(one, "x").join(two, "p").select("x", "p", "x_facets", "p_facets", (F.col("x_n") + F.col("p_n")).alias("sizes"))
+    facets = known.groupBy("set_key").agg(F.min(F.struct("n_shingles", "facets", "fine")).alias("f"))
+    one = facets.select(F.col("set_key").alias("x"), F.col("f.facets").alias("x_facets"), F.col("f.fine").alias("x_fine"), F.col("f.n_shingles").alias("x_n"))
+    two = facets.select(F.col("set_key").alias("p"), F.col("f.facets").alias("p_facets"), F.col("f.fine").alias("p_fine"), F.col("f.n_shingles").alias("p_n"))
+    wide = pairs.join(one, "x").join(two, "p").select("x", "p", "x_facets", "p_facets", "x_fine", "p_fine", (F.col("x_n") + F.col("p_n")).alias("sizes"))
     return wide.mapInArrow(run, "x long, p long")
 
 
+def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    if not one:
+        return np.zeros(0, np.int64)
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1).astype(np.int16) for x in (one, two))
+    return np.abs(a - b).sum(axis=1, dtype=np.int64)
+
+
 def _measure(pairs: DataFrame, rows: DataFrame, known: DataFrame, k: int) -> DataFrame:
     """The pairs x, p with the size of their intersection and union, from one text of each set."""
     needed = pairs.select(F.col("x").alias("set_key")).union(pairs.select(F.col("p"))).distinct()
