@@ -17,7 +17,7 @@ from .shared import BYTE_VALUES, pieces, prefix_hash, settle, span_hash
 LENGTH = 400
 GRAM = 96
 #: A bucket gets suffixes of about so many bytes; a gram with more suffixes than HOT is resolved by counting digests instead.
-BUCKET_BYTES = 8 << 20
+BUCKET_BYTES = 3 << 20
 HOT = 5_000
 _SECOND = BYTE_VALUES[::-1].copy()
 _PLACE_BITS = np.uint64(28)
@@ -164,8 +164,13 @@ def _windows(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
 def _resolver(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["key", "start"]).sort_values(["lead", "gram"], ignore_index=True)
-        raw, begins, owner, inside = _windows(list(group["content"]), length)
-        digest = span_hash(prefix_hash(BYTE_VALUES[raw]), begins, begins + length)
+        digests, owners, places = [], [], []
+        for at in range(0, len(group), 400):
+            raw, begins, owner, inside = _windows(list(group["content"].iloc[at : at + 400]), length)
+            digests.append(span_hash(prefix_hash(BYTE_VALUES[raw]), begins, begins + length))
+            owners.append((owner + at).astype(np.int32))
+            places.append(inside.astype(np.int32))
+        digest, owner, inside = (np.concatenate(x) for x in (digests, owners, places))
         gram = group["gram"].to_numpy()[owner]
         order = np.lexsort((digest, gram))
         same = (digest[order][1:] == digest[order][:-1]) & (gram[order][1:] == gram[order][:-1])
@@ -187,8 +192,8 @@ def _resolver(length: int):
 def _digester(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 raw, begins, owner, inside = _windows(part.column("content").to_pylist(), length)
                 two = [span_hash(prefix_hash(v[raw]), begins, begins + length).view(np.int64) for v in (BYTE_VALUES, _SECOND)]
                 start = part.column("start").to_numpy()[owner] + inside
@@ -207,7 +212,7 @@ def cut_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out: dict[str, list] = {n: [] for n in ("text", "n_bytes", "n_removed", "n_spans", "kept_sha256")}
             for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 data = text.encode()
