@@ -16,7 +16,7 @@ from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, settle, shingles,
 #: Counters of the sketch that orders shingles, and parts in which tasks hand them over.
 COUNTERS, PARTS = 1 << 19, 64
 #: Regions up to this size are compared pair by pair in their second round; larger ones get so many more pivots a round.
-LEAF = 64
+LEAF = 256
 #: Regions up to this size are compared pair by pair at once.
 SMALL = 8
 #: Parts of the shingle universe that act as fixed pivots: a set's distances to them are its counts there.
@@ -24,7 +24,7 @@ FACETS = 32
 #: Sets from this size on have finer facets as well, for a few pivots tell little about large sets.
 FINE, FINE_FROM = 256, 700
 #: Up to so many candidate pairs, the ids of their texts (about 60 bytes a row) are broadcast to the scan.
-BROADCAST_PAIRS = 200_000
+BROADCAST_PAIRS = 40_000
 
 
 def _shingle_sets(raw: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
