@@ -103,6 +103,9 @@ def cut(rows, length):
 @pytest.mark.parametrize("hot", [suffixes.HOT, 1])
 def test_repeated_strings(odd, empty, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    if hot == 1:
+        monkeypatch.setattr(suffixes, "SLICE", 3)
+        monkeypatch.setattr(suffixes, "PART_WINDOWS", 300)
     rows = [(r.doc_id, r.text or "") for r in odd.collect()]
     expected = [(i, *x) for (i, _), x in zip(rows, cut([t for _, t in rows], 400), strict=True)]
     same(suffixes.documents_to_cuts(odd), expected)

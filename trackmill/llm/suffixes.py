@@ -19,6 +19,10 @@ GRAM = 96
 #: A bucket gets suffixes of about so many bytes; a gram with more suffixes than HOT is resolved by counting digests instead.
 BUCKET_BYTES = 3 << 20
 HOT = 5_000
+#: Suffixes with hot grams that are compared in a slice, and digests that a task compares of all slices.
+SLICE = 1_000
+PART_WINDOWS = 200_000
+_RECORD = np.dtype([("key", "V16"), ("start", "<i4"), ("known", "<i4"), ("a", "<i8"), ("b", "<i8")])
 _SECOND = BYTE_VALUES[::-1].copy()
 _PLACE_BITS = np.uint64(28)
 
@@ -88,8 +92,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     partitioned by their leading bytes with splitters taken from all repeated grams, sorted in the
     bucket by gram, then by what follows (as digests), and compared with their neighbours. Equal
     strings have equal grams and never meet a bucket's boundary. Grams with more than HOT suffixes
-    are kept out of the buckets: their strings are counted by 128-bit digests, combined before
-    the shuffle. Both ways give the same answer.
+    are kept out of the buckets: their strings are compared by 128-bit digests, first within a slice of
+    the suffixes at hand, then one of each digest and slice with those of other slices. Both ways give the same answer.
 
     Equal texts are handled once; texts found twice are removed whole from ``length`` bytes on. Null
     and empty texts have no runs. Repeated rows, null ids and any other columns are allowed; an empty table gives no rows.
@@ -102,7 +106,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     where = F.struct("key", "place")
     grams = found.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n"))
     grams = settle(grams.filter("a <> b").select("gram", "lead", (F.col("n") > HOT).alias("hot"), "n"))
-    facts = grams.filter("not hot").agg(F.sum("n").alias("n")).first()
+    facts = grams.agg(F.sum(F.when(~F.col("hot"), F.col("n"))).alias("n"), F.sum(F.when(F.col("hot"), F.col("n"))).alias("hot")).first()
     buckets = max(1, -(-(facts["n"] or 0) * (length + (length - gram) // 2) // BUCKET_BYTES))
     shares = [i / buckets for i in range(1, buckets)]
     splitters = (grams.filter("not hot").agg(F.percentile_approx("lead", shares, 100 * buckets).alias("s")).first()["s"] or []) if shares else []
@@ -113,11 +117,11 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     joined = rows.join(marks, "key")
     cut = joined.select("key", "text", "anchors").mapInArrow(_cutter(length, splitters), "key binary, bucket int, gram long, lead long, start int, content binary")
     cold = cut.filter("bucket >= 0").groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
-    digests = cut.filter("bucket < 0").mapInArrow(_digester(length), "key binary, start int, a long, b long")
-    place = F.struct("key", "start")
-    again = digests.groupBy("a", "b").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x <> y").select("a", "b")
-    hot = digests.join(again, ["a", "b"]).select("key", "start", (F.col("start") + length).alias("end"))
-    runs = cold.unionByName(hot).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
+    parts = max(1, -(-(facts["hot"] or 0) * (length - gram) // PART_WINDOWS))
+    digests = cut.filter("bucket < 0").mapInArrow(_digester(length, parts, SLICE), "part int, packed binary, key binary, start int, end int")
+    near = digests.filter("part < 0").select("key", "start", "end")
+    far = digests.filter("part >= 0").select("part", "packed").groupBy("part").applyInPandas(_matcher(length), "key binary, start int, end int")
+    runs = cold.unionByName(near).unionByName(far).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     marked = rows.join(runs.join(whole, "key", "full"), "key", "left")
     size = F.octet_length("text")
     all_of_it = F.array(F.struct(F.lit(0).alias("start"), size.alias("end")))
@@ -130,15 +134,20 @@ def _cutter(length: int, splitters: list[int]):
     bounds = np.array(splitters, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             for at in range(batch.num_rows):
+                name = batch.column("key")[at].as_py()
+                if name == last:  # copies stand together behind the join; those that don't are told by their place later
+                    continue
+                last = name
                 text = batch.column("text")[at].as_py().encode()
                 own = batch.column("anchors")[at].as_py()
                 lead = np.array([a["lead"] for a in own], np.int64)
                 bucket = np.where([a["hot"] for a in own], -1, np.searchsorted(bounds, lead, side="right"))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([batch.column("key")[at].as_py()] * len(own), pa.binary()),
+                        pa.array([name] * len(own), pa.binary()),
                         pa.array(bucket.astype(np.int32)),
                         pa.array([a["gram"] for a in own], pa.int64()),
                         pa.array(lead),
@@ -161,6 +170,14 @@ def _windows(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return np.frombuffer(b"".join(contents), np.uint8), begins[owner] + inside, owner, inside
 
 
+def _joined(at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each stretch of neighbouring windows of one content."""
+    if not len(at):
+        return at, at
+    breaks = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)))
+    return at[breaks], at[np.concatenate((np.flatnonzero(breaks)[1:], [len(at)])) - 1]
+
+
 def _resolver(length: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates(["key", "start"]).sort_values(["lead", "gram"], ignore_index=True)
@@ -177,10 +194,7 @@ def _resolver(length: int):
         twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        at = np.flatnonzero(twice)
-        breaks = np.concatenate(([True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0))) if len(at) else np.zeros(0, bool)
-        first = at[breaks]
-        last = at[np.concatenate((np.flatnonzero(breaks)[1:], [len(at)])) - 1] if len(at) else at
+        first, last = _joined(np.flatnonzero(twice), owner)
         start = group["start"].to_numpy()[owner[first]]
         return pd.DataFrame(
             {"key": group["key"].to_numpy()[owner[first]], "start": start + inside[first], "end": start + inside[last] + length}
@@ -189,22 +203,70 @@ def _resolver(length: int):
     return run
 
 
-def _digester(length: int):
+def _digester(length: int, parts: int, size: int):
+    """Runs of what a slice repeats by itself (part -1), and one record of each digest in it, packed by part."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                part = batch.slice(at, 400)
-                raw, begins, owner, inside = _windows(part.column("content").to_pylist(), length)
-                two = [span_hash(prefix_hash(v[raw]), begins, begins + length).view(np.int64) for v in (BYTE_VALUES, _SECOND)]
-                start = part.column("start").to_numpy()[owner] + inside
+            for at in range(0, batch.num_rows, size):
+                group = batch.slice(at, size).to_pandas().drop_duplicates(["key", "start"], ignore_index=True)
+                raw, begins, owner, inside = _windows(list(group["content"]), length)
+                a, b = (span_hash(prefix_hash(v[raw]), begins, begins + length).view(np.int64) for v in (BYTE_VALUES, _SECOND))
+                order = np.lexsort((b, a))
+                new = np.ones(len(order), bool)
+                new[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+                one = order[new]
+                count = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+                twice = np.zeros(len(order), bool)
+                twice[order] = np.repeat(count > 1, count)
+                start = group["start"].to_numpy()[owner] + inside
+                first, last = _joined(np.flatnonzero(twice), owner)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(first), -1, np.int32)),
+                        pa.nulls(len(first), pa.binary()),
+                        pa.array(group["key"].to_numpy()[owner[first]], pa.binary()),
+                        pa.array(start[first].astype(np.int32)),
+                        pa.array((start[last] + length).astype(np.int32)),
+                    ],
+                    ["part", "packed", "key", "start", "end"],
+                )
+                records = np.zeros(len(one), _RECORD)
+                records["key"] = np.frombuffer(b"".join(group["key"]), "V16")[owner[one]]
+                records["start"], records["known"], records["a"], records["b"] = start[one], count > 1, a[one], b[one]
+                part = a[one] % parts
+                records = records[np.argsort(part, kind="stable")]
+                here, counts = np.unique(part, return_counts=True)
+                ends = np.cumsum(counts)
+                packed = [records[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
+                nothing = [pa.nulls(len(here), kind) for kind in (pa.binary(), pa.int32(), pa.int32())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(owner)), pa.array(start.astype(np.int32)), *map(pa.array, two)],
-                    ["key", "start", "a", "b"],
+                    [pa.array(here.astype(np.int32)), pa.array(packed, pa.binary()), *nothing], ["part", "packed", "key", "start", "end"]
                 )
 
     return run
 
 
+def _matcher(length: int):
+    """Windows whose digest other slices have as well. Windows that their own slice repeats are known."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        records = np.frombuffer(b"".join(group["packed"]), _RECORD)
+        place = np.stack([records["key"].copy().view("<i8").reshape(-1, 2)[:, i] for i in (0, 1)] + [records["start"].astype(np.int64)])
+        order = np.lexsort((*place, records["b"], records["a"]))
+        records, place = records[order], place[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (records["a"][1:] != records["a"][:-1]) | (records["b"][1:] != records["b"][:-1])
+        begins = np.flatnonzero(new)
+        counts = np.diff(np.concatenate((begins, [len(order)])))
+        ends = begins + counts - 1
+        elsewhere = (place[:, begins] != place[:, ends]).any(axis=0) | (np.maximum.reduceat(records["known"], begins) > 0)
+        found = records[np.repeat(elsewhere, counts) & (records["known"] == 0)]
+        return pd.DataFrame({"key": [k.tobytes() for k in found["key"]], "start": found["start"], "end": found["start"] + length})
+
+    return run
+
+
 def cut_texts(documents: DataFrame, length: int = LENGTH, gram: int = GRAM, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, text (what remains, incomplete characters at cuts dropped), n_bytes, n_removed, n_spans, kept_sha256."""
     spans = repeated_spans(documents, length, gram, keep)
