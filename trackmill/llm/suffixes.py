@@ -21,7 +21,7 @@ BUCKET_BYTES = 3 << 20
 HOT = 5_000
 #: Suffixes with hot grams that are compared in a slice, and digests that a task compares of all slices.
 SLICE = 1_000
-PART_WINDOWS = 200_000
+PART_WINDOWS = 500_000
 _RECORD = np.dtype([("key", "V16"), ("start", "<i4"), ("known", "<i4"), ("a", "<i8"), ("b", "<i8")])
 _SECOND = BYTE_VALUES[::-1].copy()
 _PLACE_BITS = np.uint64(28)
@@ -117,7 +117,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     joined = rows.join(marks, "key")
     cut = joined.select("key", "text", "anchors").mapInArrow(_cutter(length, splitters), "key binary, bucket int, gram long, lead long, start int, content binary")
     cold = cut.filter("bucket >= 0").groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
-    parts = max(1, -(-(facts["hot"] or 0) * (length - gram) // PART_WINDOWS))
+    parts = max(1, -(-(facts["hot"] or 0) * ((length - gram) // 2) // PART_WINDOWS))
     digests = cut.filter("bucket < 0").mapInArrow(_digester(length, parts, SLICE), "part int, packed binary, key binary, start int, end int")
     near = digests.filter("part < 0").select("key", "start", "end")
     far = digests.filter("part >= 0").select("part", "packed").groupBy("part").applyInPandas(_matcher(length), "key binary, start int, end int")
