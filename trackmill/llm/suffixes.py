@@ -23,6 +23,7 @@ HOT = 5_000
 SLICE = 1_000
 PART_WINDOWS = 500_000
 _RECORD = np.dtype([("key", "V16"), ("start", "<i4"), ("known", "<i4"), ("a", "<i8"), ("b", "<i8")])
+_WINDOW = np.dtype([("key", "V16"), ("start", "<i4")])
 _SECOND = BYTE_VALUES[::-1].copy()
 _PLACE_BITS = np.uint64(28)
 
@@ -120,7 +121,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     parts = max(1, -(-(facts["hot"] or 0) * ((length - gram) // 2) // PART_WINDOWS))
     digests = cut.filter("bucket < 0").mapInArrow(_digester(length, parts, SLICE), "part int, packed binary, key binary, start int, end int")
     near = digests.filter("part < 0").select("key", "start", "end")
-    far = digests.filter("part >= 0").select("part", "packed").groupBy("part").applyInPandas(_matcher(length), "key binary, start int, end int")
+    met = digests.filter("part >= 0").select("part", "packed").groupBy("part").applyInPandas(_matcher(parts), "owner int, packed binary")
+    far = met.groupBy("owner").applyInPandas(_gatherer(length), "key binary, start int, end int")
     runs = cold.unionByName(near).unionByName(far).groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs"))
     marked = rows.join(runs.join(whole, "key", "full"), "key", "left")
     size = F.octet_length("text")
@@ -247,8 +249,8 @@ def _digester(length: int, parts: int, size: int):
     return run
 
 
-def _matcher(length: int):
-    """Windows whose digest other slices have as well. Windows that their own slice repeats are known."""
+def _matcher(owners: int):
+    """Windows whose digest other slices have as well, packed by their texts. Windows that their own slice repeats are known."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         records = np.frombuffer(b"".join(group["packed"]), _RECORD)
@@ -262,7 +264,30 @@ def _matcher(length: int):
         ends = begins + counts - 1
         elsewhere = (place[:, begins] != place[:, ends]).any(axis=0) | (np.maximum.reduceat(records["known"], begins) > 0)
         found = records[np.repeat(elsewhere, counts) & (records["known"] == 0)]
-        return pd.DataFrame({"key": [k.tobytes() for k in found["key"]], "start": found["start"], "end": found["start"] + length})
+        owner = found["key"].copy().view("<u8")[::2] % np.uint64(owners)
+        found = found[np.argsort(owner, kind="stable")]
+        here, counts = np.unique(owner, return_counts=True)
+        ends = np.cumsum(counts)
+        windows = np.empty(len(found), _WINDOW)
+        windows["key"], windows["start"] = found["key"], found["start"]
+        return pd.DataFrame({"owner": here.astype(np.int32), "packed": [windows[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]})
+
+    return run
+
+
+def _gatherer(length: int):
+    """The runs that the windows of each text make, of all parts."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        windows = np.frombuffer(b"".join(group["packed"]), _WINDOW)
+        name = windows["key"].copy().view("<u8").reshape(-1, 2)
+        order = np.lexsort((windows["start"], name[:, 1], name[:, 0]))
+        windows, name = windows[order], name[order]
+        start = windows["start"].astype(np.int64)
+        breaks = np.concatenate(([True], (name[1:] != name[:-1]).any(axis=1) | (start[1:] > start[:-1] + 1)))
+        first = np.flatnonzero(breaks)
+        last = np.concatenate((first[1:], [len(start)])) - 1
+        return pd.DataFrame({"key": [k.tobytes() for k in windows["key"][first]], "start": start[first], "end": start[last] + length})
 
     return run
 
