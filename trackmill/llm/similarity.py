@@ -7,16 +7,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, settle, shingles, span_hash, words
 
 #: Counters of the sketch that orders shingles, and parts in which tasks hand them over.
 COUNTERS, PARTS = 1 << 19, 64
-#: Regions up to this size are compared pair by pair in their second round; larger ones get so many more pivots a round.
-LEAF = 256
+#: Members of a block of a region in the second round, and members that are compared with their windows at once.
+BLOCK, STEP = 4_096, 256
 #: Regions up to this size are compared pair by pair at once.
 SMALL = 8
 #: Parts of the shingle universe that act as fixed pivots: a set's distances to them are its counts there.
@@ -167,6 +166,55 @@ def _possible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFra
     return wide.mapInArrow(run, "x long, p long")
 
 
+def _windows(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs x, p of one region and different classes within all windows of the triangle inequality.
+
+    The windows: sizes, distances ``d`` to the region's pivot (null: unknown), and distances
+    to the facets. A region of several blocks is dealt as pairs of blocks, so no task holds more than two.
+    """
+    limit = 1 - num / den + 1e-9
+
+    def join(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        key, label, block = (group[c].to_numpy() for c in ("set_key", "label", "block"))
+        n, d = group["n"].to_numpy(np.int64), group["d"].to_numpy(float)
+        counts = np.frombuffer(b"".join(group["facets"]), np.uint8).reshape(len(group), -1).astype(np.int16)
+        columns = np.ascontiguousarray(counts.T)
+        ends = np.searchsorted(n, den * n // num, side="right")
+        xs, ps = [], []
+        for at in range(0, len(group), STEP):
+            a = slice(at, min(at + STEP, len(group)))
+            b = slice(at, ends[a.stop - 1])
+            if b.stop - at <= STEP // 4:
+                apart = np.abs(counts[a, None] - counts[None, b]).sum(axis=2)
+            else:
+                apart = np.zeros((a.stop - at, b.stop - at), np.int16)
+                for c in columns:
+                    apart += np.abs(c[a, None] - c[None, b])
+            i, j = np.nonzero((den + num) * apart.astype(np.int64) <= (den - num) * (n[a, None] + n[None, b]))
+            i, j = i + at, j + at
+            inside = (j > i) & (j < ends[i]) & (label[i] != label[j]) & ~(np.abs(d[i] - d[j]) > limit)
+            if block[0] != block.min() or block[0] != block.max():
+                inside &= block[i] != block[j]
+            xs.append(np.maximum(key[i[inside]], key[j[inside]]))
+            ps.append(np.minimum(key[i[inside]], key[j[inside]]))
+        return np.concatenate(xs), np.concatenate(ps)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["region", "lo", "hi", "n", "set_key"])
+        names = group[["region", "lo", "hi"]].to_numpy()
+        begins = np.flatnonzero(np.concatenate(([True], (names[1:] != names[:-1]).any(axis=1))))
+        found = [join(group.iloc[i:j]) for i, j in zip(begins, [*begins[1:], len(group)], strict=True)]
+        x, p = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pd.DataFrame({"x": x, "p": p}).drop_duplicates()
+
+    block = members.withColumn("block", F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int"))
+    dealt = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("region", "set_key", "n", "d", "label", "facets", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tasks = 1 + (members.agg(F.sum("blocks")).first()[0] or 0) // BLOCK
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("region", "lo", "hi"), F.lit(tasks)))
+    return dealt.groupBy("task").applyInPandas(run, "x long, p long").distinct()
+
+
 def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
     if not one:
         return np.zeros(0, np.int64)
@@ -226,11 +274,10 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
 
     *Inside.* Equal sets are one member. Members of small regions are compared pair by pair. The pivot of a larger one is its most central member; all others are
     measured against it, exactly. What links is one class with it and needs no comparison with each
-    other. Regions that still hold several classes go on: up to LEAF members are
-    compared pair by pair where both distances to the pivot differ by the threshold at most (triangle
-    inequality), larger ones get LEAF further pivots and come back. A group of near copies
-    costs about one comparison a copy, not one a pair. Before two sets are fetched, their
-    distances to FACETS fixed pivots must allow a link.
+    other. Regions that still hold several classes are joined once more, in blocks: of members of
+    different classes only those meet whose sizes, distances to the pivot and distances to FACETS
+    fixed pivots allow a link (triangle inequality). A group of near copies
+    costs about one comparison a copy, not one a pair. The number of rounds does not grow with the data.
 
     Null and empty texts have no shingles and are their own class, as are null ids among
     themselves. Repeated rows and copies share a class. Other columns are not read.
@@ -254,34 +301,21 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     best = open_rows.groupBy("region").agg(F.max(F.struct("score", "set_key", "n")).alias("best"))
     pivots = best.select("region", F.col("best.set_key").alias("p"), F.col("best.n").alias("pn"))
     star = open_rows.join(pivots, "region").filter(F.col("set_key") != F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
-    limit = 1 - num / den + 1e-9
-    links, round_number = None, 0
-    while True:
-        pairs = (met.union(star) if round_number == 0 else met).select(F.col("set_key").alias("x"), "p").distinct()
-        possible = settle(_possible(pairs, known, num, den))
-        measured = settle(_measure(possible, with_words, known, k))
-        linked = measured.filter(den * F.col("both") >= num * F.col("either")).select("x", "p")
-        links = linked if links is None else links.union(linked)
-        labels = classes(links)
-        if round_number == 0:
-            far = measured.select(F.col("x").alias("set_key"), "p", (1 - F.col("both") / F.col("either")).alias("d"))
-            left = open_rows.join(pivots.drop("pn"), "region").filter(F.col("set_key") != F.col("p")).join(far, ["set_key", "p"], "left").drop("p")
-        else:
-            left = ranked.filter(F.col("rank") > LEAF).drop("rank", "label")
-        left = left.join(labels, left["set_key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set_key")).drop("node")
-        mixed = left.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("region")
-        open_rows = settle(left.join(mixed, "region", "left_semi"))
-        if open_rows.isEmpty():
-            break
-        round_number += 1
-        rank = F.row_number().over(W.partitionBy("region").orderBy(F.desc("score"), "set_key"))
-        ranked = open_rows.withColumn("rank", rank)
-        heads = ranked.filter(F.col("rank") <= LEAF).select(
-            "region", F.col("set_key").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("label").alias("pl"), F.col("rank").alias("pr")
-        )
-        near = (F.abs(F.col("d") - F.col("pd")) <= limit) | F.col("d").isNull() | F.col("pd").isNull()
-        met = ranked.join(heads, "region").filter((F.col("rank") > F.col("pr")) & (F.col("label") != F.col("pl")) & near & close(F.col("n"), F.col("pn")))
-        met = met.select("set_key", "p")
+    possible = settle(_possible(met.union(star).select(F.col("set_key").alias("x"), "p").distinct(), known, num, den))
+    measured = settle(_measure(possible, with_words, known, k))
+    linked = lambda m: m.filter(den * F.col("both") >= num * F.col("either")).select("x", "p")
+    labels = classes(linked(measured))
+    # Second round: what is still in several classes, by the distances to the region's pivot and to the facets.
+    far = measured.select(F.col("x").alias("set_key"), "p", (1 - F.col("both") / F.col("either")).alias("d"))
+    left = open_rows.join(pivots.drop("pn"), "region").filter(F.col("set_key") != F.col("p")).join(far, ["set_key", "p"], "left").drop("p")
+    left = left.join(labels, left["set_key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set_key"))
+    mixed = left.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
+    mixed = mixed.filter("lo <> hi").select("region", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    facets = known.groupBy("set_key").agg(F.min("facets").alias("facets"))
+    left = left.select("region", "set_key", "n", "d", "label").join(mixed, "region").join(facets, "set_key")
+    near = settle(_windows(settle(left), num, den))
+    rest = settle(_measure(settle(_possible(near, known, num, den)), with_words, known, k))
+    labels = classes(linked(measured).union(linked(rest)))
     class_key = F.when(F.col("n_shingles") > 0, F.coalesce("label", "set_key"))
     named = known.join(labels, known["set_key"] == labels["node"], "left").select("doc_id", "n_shingles", class_key.alias("class_key"))
     smallest = named.filter("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("smallest"))
