@@ -86,6 +86,15 @@ def test_components_of_the_documents_and_of_a_large_group(spark, documents):
     same(similarity.documents_to_components(frame), classes(rows, 4, 85, 100))
 
 
+@pytest.mark.parametrize("block", [similarity.BLOCK, 8])
+def test_chain_in_one_region_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    shared = [f"s{i}" for i in range(60)]
+    rows = [(i, " ".join(shared + [f"d{j}" for j in range(4 * i, 4 * i + 60)])) for i in range(40) if i not in (11, 12, 13)]
+    found = similarity.documents_to_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    same(found, classes(rows, 4, 85, 100))
+
+
 def cut(rows, length):
     seen = Counter(t.encode()[p : p + length] for t in rows for p in range(len(t.encode()) - length + 1))
     out = []
