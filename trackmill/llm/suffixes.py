@@ -211,7 +211,7 @@ def _digester(length: int, parts: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                group = batch.slice(at, size).to_pandas().drop_duplicates(["key", "start"], ignore_index=True)
+                group = batch.slice(at, size).to_pandas().drop_duplicates(["key", "start"]).sort_values(["key", "start"], ignore_index=True)
                 raw, begins, owner, inside = _windows(list(group["content"]), length)
                 a, b = (span_hash(prefix_hash(v[raw]), begins, begins + length).view(np.int64) for v in (BYTE_VALUES, _SECOND))
                 order = np.lexsort((b, a))
@@ -222,7 +222,10 @@ def _digester(length: int, parts: int, size: int):
                 twice = np.zeros(len(order), bool)
                 twice[order] = np.repeat(count > 1, count)
                 start = group["start"].to_numpy()[owner] + inside
-                first, last = _joined(np.flatnonzero(twice), owner)
+                # Windows of neighbouring anchors of one text make one run.
+                text = group["key"].ne(group["key"].shift()).cumsum().to_numpy()[owner]
+                stretch = np.cumsum(np.diff(text, prepend=0).astype(bool) | (np.diff(start, prepend=start[:1]) != 1))
+                first, last = _joined(np.flatnonzero(twice), stretch)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(first), -1, np.int32)),
