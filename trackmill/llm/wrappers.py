@@ -63,7 +63,7 @@ _NAME_PARTS = re.compile(r"[^a-z]+")
 
 
 class Node:
-    __slots__ = ("kids", "names", "role", "symbol", "tag")
+    __slots__ = ("kids", "linked", "menu", "names", "path", "plain", "role", "symbol", "tag")
 
     def __init__(self, tag: str, rest: str = ""):
         self.tag, self.kids, self.role, self.names = tag, [], "", ()
@@ -115,22 +115,45 @@ def parse(page: str) -> Node:
     return root
 
 
-# A wrapper is [symbol, flags, kids]: "?" optional, "+" repeated, "T" has a text slot, "a" all its text is in links.
+# A wrapper is [symbol, flags, kids]: "?" optional, "+" repeated, "T" has a text slot, "a" has texts in links, "x" has texts
+# outside of links. A page can be as deep as it likes, so nothing here recurses.
 
 
-def shape(node: Node, linked: bool = False) -> list:
+def preorder(root: Node) -> list[tuple[Node, Node | None, bool]]:
+    """Every element, its parent and whether it is in a link."""
+    out: list = []
+    stack: list = [(root, None, False)]
+    while stack:
+        node, parent, linked = stack.pop()
+        linked = linked or node.tag == "a"
+        out.append((node, parent, linked))
+        stack.extend((k, node, linked) for k in reversed(node.kids) if not isinstance(k, str))
+    return out
+
+
+def weigh(order: list) -> None:
+    """Text characters in and outside of links at and below every element."""
+    for node, _, linked in order:
+        own = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
+        node.linked, node.plain = (own, 0) if linked else (0, own)
+    for node, parent, _ in reversed(order):
+        if parent is not None:
+            parent.linked += node.linked
+            parent.plain += node.plain
+
+
+def shape(root: Node) -> list:
     """The wrapper of one page: repeated siblings folded, texts as slots."""
-    linked = linked or node.tag == "a"
-    kids, text, only_links = [], False, True
-    for k in node.kids:
-        if isinstance(k, str):
-            if not k.isspace():
-                text = True
-                only_links = only_links and linked
-        else:
-            kids.append(shape(k, linked))
-    only_links = only_links and all("a" in k[1] for k in kids)
-    return [node.symbol, ("T" if text else "") + ("a" if only_links else ""), fold(kids)]
+    order = preorder(root)
+    weigh(order)
+    kids: dict[int, list] = {}
+    whole: list = []
+    for node, parent, _ in reversed(order):
+        text = any(isinstance(k, str) and not k.isspace() for k in node.kids)
+        flags = ("T" if text else "") + ("a" if node.linked else "") + ("x" if node.plain else "")
+        whole = [node.symbol, flags, fold(kids.pop(id(node), [])[::-1])]
+        kids.setdefault(id(parent), []).append(whole)
+    return whole
 
 
 def fold(kids: list) -> list:
@@ -146,40 +169,84 @@ def fold(kids: list) -> list:
 
 
 def _flags(flags: str) -> str:
-    return "".join(f for f in "?+Ta" if f in flags)
+    return "".join(f for f in "?+Tax" if f in flags)
 
 
-def merge(a: list, b: list) -> list:
-    """Align two wrappers of one symbol: common kids are merged, a mismatch becomes optional."""
-    flags = _flags((a[1] + b[1]).replace("a", "") + ("a" if "a" in a[1] and "a" in b[1] else ""))
-    if a[2] == b[2]:
-        return [a[0], flags, a[2]]
-    x, y = a[2], b[2]
+def pair(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of two symbol rows aligned by a longest common subsequence; -1 stands for no partner."""
+    if x == y:
+        return [(i, i) for i in range(len(x))]
     table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
     for i in range(len(x) - 1, -1, -1):
         for j in range(len(y) - 1, -1, -1):
-            table[i][j] = table[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(table[i + 1][j], table[i][j + 1])
-    kids, i, j = [], 0, 0
+            table[i][j] = table[i + 1][j + 1] + 1 if x[i] == y[j] else max(table[i + 1][j], table[i][j + 1])
+    out, i, j = [], 0, 0
     while i < len(x) or j < len(y):
-        if i < len(x) and j < len(y) and x[i][0] == y[j][0]:
-            kids.append(merge(x[i], y[j]))
+        if i < len(x) and j < len(y) and x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
         elif j == len(y) or (i < len(x) and table[i + 1][j] >= table[i][j + 1]):
-            kids.append([x[i][0], _flags(x[i][1] + "?"), x[i][2]])
+            out.append((i, -1))
             i += 1
         else:
-            kids.append([y[j][0], _flags(y[j][1] + "?"), y[j][2]])
+            out.append((-1, j))
             j += 1
-    return [a[0], flags, fold(kids)]
+    return out
+
+
+def merge(a: list, b: list) -> list:
+    """Align two wrappers of one symbol: common kids are merged, a mismatch becomes optional."""
+    whole = [a[0], _flags(a[1] + b[1]), []]
+    work = [(a[2], b[2], whole[2])]
+    while work:
+        x, y, kids = work.pop()
+        for i, j in pair([k[0] for k in x], [k[0] for k in y]):
+            if i >= 0 and j >= 0:
+                kids.append([x[i][0], _flags(x[i][1] + y[j][1]), []])
+                work.append((x[i][2], y[j][2], kids[-1][2]))
+            else:
+                one = x[i] if i >= 0 else y[j]
+                kids.append([one[0], _flags(one[1] + "?"), one[2]])
+    return whole
+
+
+def dumps(wrapper: list) -> str:
+    """JSON of depth, symbol and flags of every element in order, flat at any depth."""
+    rows, stack = [], [(0, wrapper)]
+    while stack:
+        depth, (symbol, flags, kids) = stack.pop()
+        rows.append([depth, symbol, flags])
+        stack.extend((depth + 1, k) for k in reversed(kids))
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def loads(text: str) -> list:
+    """The wrapper that ``dumps`` wrote."""
+    above: list = []
+    for depth, symbol, flags in json.loads(text):
+        del above[depth:]
+        node = [symbol, flags, []]
+        if above:
+            above[-1][2].append(node)
+        above.append(node)
+    return above[0]
 
 
 def expression(wrapper: list) -> str:
     """The wrapper as a readable regular expression without unions."""
-    symbol, flags, kids = wrapper
-    inner = ("#text " if "T" in flags else "") + " ".join(expression(k) for k in kids)
-    text = f"<{symbol}>{inner.strip()}</>"
-    mark = ("+" if "+" in flags else "") + ("?" if "?" in flags else "")
-    return f"({text}){mark}" if mark else text
+    out: list[str] = []
+    stack: list = [(wrapper, "")]
+    while stack:
+        node, blank = stack.pop()
+        if isinstance(node, str):
+            out.append(node)
+            continue
+        symbol, flags, kids = node
+        mark = ("+" if "+" in flags else "") + ("?" if "?" in flags else "")
+        out.append(blank + ("(" if mark else "") + f"<{symbol}>" + ("#text" if "T" in flags else ""))
+        stack.append(("</>" + (f"){mark}" if mark else ""), ""))
+        stack.extend((kids[i], " " if i or "T" in flags else "") for i in range(len(kids) - 1, -1, -1))
+    return "".join(out)
 
 
 def unwanted(symbol: str) -> bool:
@@ -189,36 +256,95 @@ def unwanted(symbol: str) -> bool:
     return tag in DROPPED or (role or late) in DROPPED_ROLES or any(n in DROPPED_NAMES for n in rest.split("."))
 
 
-def decide(wrapper: list) -> dict[str, list[str]]:
-    """Symbol paths of a host that hold the main text and of those below that don't."""
-    dropped: set[str] = set()
-    mains: dict[str, set[str]] = {"article": set(), "main": set(), "named": set()}
+def kind_of(symbol: str) -> str | None:
+    """How an element marks main text."""
+    tag = re.split(r"[.@]", symbol)[0]
+    if tag == "article":
+        return "article"
+    if tag == "main" or symbol.endswith("@main"):
+        return "main"
+    return "named" if MAIN_NAMES & set(symbol.partition("@")[0].split(".")[1:]) else None
 
-    def walk(node: list, path: str, inside: bool) -> None:
+
+def decide(wrapper: list) -> dict:
+    """What holds the main text of a host. ``tree``: its wrapper, menus flagged "M". Symbol paths are numbered by
+    ``paths`` from the parent's number and the symbol; ``main`` and ``dropped`` hold such numbers.
+
+    A menu is one group at its place in the wrapper, never all elements with its path.
+    """
+    paths: dict[tuple[int, str], int] = {}
+    dropped: set[int] = set()
+    mains: dict[str, set[int]] = {"article": set(), "main": set(), "named": set()}
+    order: list = []
+    stack: list = [(wrapper, None)]
+    while stack:
+        node, parent = stack.pop()
+        order.append((node, parent))
+        stack.extend((k, node) for k in reversed(node[2]))
+    holds: set[int] = set()
+    for node, parent in reversed(order):
+        if id(node) in holds or kind_of(node[0]) in ("article", "main"):
+            holds |= {id(node), id(parent)}
+
+    top = paths[-1, wrapper[0]] = 0
+    stack = [(wrapper, top, False)]
+    while stack:
+        node, path, inside = stack.pop()
         symbol, flags, kids = node
-        tag = re.split(r"[.@]", symbol)[0]
-        menu = not inside and "+" in flags and "a" in flags and tag in ("a", "li", "div", "span", "p", "td")
-        site_header = tag == "header" and not inside
-        if unwanted(symbol) or menu or site_header:
+        tag, kind = re.split(r"[.@]", symbol)[0], kind_of(symbol)
+        if unwanted(symbol) or (tag == "header" and not inside):
             dropped.add(path)
-            return
-        kind = "article" if tag == "article" else "main" if tag == "main" or symbol.endswith("@main") else None
-        if kind is None and MAIN_NAMES & set(symbol.partition("@")[0].split(".")[1:]):
-            kind = "named"
+            continue
+        links = "+" in flags and "a" in flags and "x" not in flags and tag in ("a", "li", "div", "span", "p", "td")
+        if links and not inside and not kind and id(node) not in holds:
+            node[1] = flags + "M"
+            continue
         if kind:
             mains[kind].add(path)
-        for k in kids:
-            walk(k, f"{path}>{k[0]}", inside or kind in ("article", "main"))
+        inside = inside or kind in ("article", "main")
+        stack.extend((k, paths.setdefault((path, k[0]), len(paths)), inside) for k in reversed(kids))
+    best = next((m for m in mains.values() if m), {top})
+    return {"tree": wrapper, "paths": paths, "main": best, "dropped": dropped}
 
-    walk(wrapper, wrapper[0], False)
-    best = next((m for m in mains.values() if m), {wrapper[0]})
-    return {"main": sorted(best), "dropped": sorted(dropped)}
 
+def place(root: Node, decided: dict) -> None:
+    """Align a page with its host's wrapper: path and menu of every element.
 
-def text_of(page: str, decided: dict[str, list[str]]) -> str:
+    A group of siblings is a menu if the wrapper's group at its place is one and its own texts
+    are all links too, so a doubtful alignment never drops other text.
+    """
+    paths = decided["paths"]
+    root.path, root.menu = 0, False
+    stack = [(root, decided["tree"])]
+    while stack:
+        node, known = stack.pop()
+        groups: list[list[Node]] = []
+        for k in node.kids:
+            if not isinstance(k, str):
+                k.path, k.menu = paths.get((node.path, k.symbol), -1), False
+                if groups and groups[-1][0].symbol == k.symbol:
+                    groups[-1].append(k)
+                else:
+                    groups.append([k])
+        partners: list = [None] * len(groups)
+        if known and groups:
+            for i, j in pair([g[0].symbol for g in groups], [k[0] for k in known[2]]):
+                if i >= 0 and j >= 0:
+                    partners[i] = known[2][j]
+        for group, partner in zip(groups, partners, strict=True):
+            menu = bool(partner) and "M" in partner[1] and not any(k.plain for k in group)
+            for k in group:
+                k.menu = menu
+                stack.append((k, partner))
+
+
+def text_of(page: str, decided: dict) -> str:
     """Blocks of the main text of a page. Without its host's main part, the page less what is dropped."""
-    mains, dropped = set(decided["main"]), set(decided["dropped"])
+    mains, dropped = decided["main"], decided["dropped"]
     root = parse(page)
+    order = preorder(root)
+    weigh(order)
+    place(root, decided)
 
     def collect(everything: bool) -> list[str]:
         blocks, current = [], []
@@ -229,23 +355,19 @@ def text_of(page: str, decided: dict[str, list[str]]) -> str:
             if text:
                 blocks.append(text)
 
-        def walk(node: Node, path: str, inside: bool) -> None:
-            if path in dropped or unwanted(node.symbol):
-                return
-            inside = inside or path in mains
-            block = node.tag in BLOCKS
-            if block:
+        stack: list = [(root, everything)]
+        while stack:
+            node, inside = stack.pop()
+            if node is None:
                 end()
-            for k in node.kids:
-                if isinstance(k, str):
-                    if inside:
-                        current.append(k)
-                else:
-                    walk(k, f"{path}>{k.symbol}", inside)
-            if block:
-                end()
-
-        walk(root, root.symbol, everything)
+            elif isinstance(node, str):
+                current.append(node)
+            elif not (node.menu or node.path in dropped or unwanted(node.symbol)):
+                inside = inside or node.path in mains
+                if node.tag in BLOCKS:
+                    end()
+                    stack.append((None, False))
+                stack.extend((k, inside) for k in reversed(node.kids) if inside or not isinstance(k, str))
         end()
         return blocks
 
@@ -262,15 +384,15 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [None if p is None else json.dumps(shape(parse(p)), separators=(",", ":")) for p in batch.column("html").to_pylist()]
+            found = [None if p is None else dumps(shape(parse(p))) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(found, pa.string())], ["host", "wrapper"])
 
     def align(group: pd.DataFrame) -> pd.DataFrame:
         whole = None
         for text in sorted(group["wrapper"]):
-            one = json.loads(text)
+            one = loads(text)
             whole = one if whole is None else merge(whole, one)
-        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [json.dumps(whole, separators=(",", ":"))]})
+        return pd.DataFrame({"host": [group["host"].iloc[0]], "wrapper": [dumps(whole)]})
 
     rows = pages.select("host", "html").mapInArrow(shapes, "host string, wrapper string")
     rows = settle(rows.filter("wrapper is not null").distinct())
@@ -287,8 +409,8 @@ def extract(pages: DataFrame) -> DataFrame:
 
     The wrapper of a page's host says which elements hold main text: articles, else main,
     else elements named like content, else the whole body, always less menus, site
-    headers, footers, sidebars, notices, adverts, forms and comments. Repeated groups outside of the main
-    part whose texts are all links count as menus. Null and empty pages have an empty text; pages
+    headers, footers, sidebars, notices, adverts, forms and comments. A repeated group outside of the main
+    part whose texts are all links, one at least, counts as a menu at its place in the wrapper. Null and empty pages have an empty text; pages
     without a host share the empty host. Repeated rows are extracted each; a column named host is not needed.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
@@ -308,7 +430,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 if wrapper not in decided:
                     if len(decided) > 1000:
                         decided.clear()
-                    decided[wrapper] = decide(json.loads(wrapper))
+                    decided[wrapper] = decide(loads(wrapper))
                 texts.append(text_of(page, decided[wrapper]))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
