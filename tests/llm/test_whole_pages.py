@@ -39,3 +39,23 @@ def test_menu_of_a_host_leaves_pages_without_it():
     menu, without = f"<body>{MENU}<h1>T</h1><div>one</div></body>", "<body><h1>U</h1><div>two</div></body>"
     assert texts(menu, without) == ["T one", "U two"] and texts(without, menu) == ["U two", "T one"]
     assert texts(menu, "<body><div>three</div></body>")[1] == "three"
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<body class="has-sidebar"><p>text</p><div class="sidebar-left">no</div></body>', "text"),
+        ('<body class="no-comments sidebar"><p>text</p></body>', "text"),
+        ('<body><h1>T</h1><div class="content with-sidebar"><p>text</p></div></body>', "text"),
+        ('<body><div class="content comments-open">text</div><div class="post-comments">no</div></body>', "text"),
+        ('<body><article class="post category-social">text<div class="social">no</div></article></body>', "text"),
+        ('<body><article class="social">text</article></body>', "text"),
+        ('<body><div class="widget"><article>text</article></div></body>', "text"),
+        ('<body><div class="related"><article>no</article></div><article>text</article></body>', "text"),
+        ('<body><h1>T</h1><div class="widget">all of the text</div><div class="left-sidebar">no</div></body>', "T all of the text"),
+        ('<body><article>text<section id="comments">a long thread of comments</section></article></body>', "text"),
+        ('<body><div class="ad">one</div><div class="notice">two</div></body>', "one two"),
+    ],
+)
+def test_names_drop_no_main_text(page, text):
+    assert texts(page) == [text]

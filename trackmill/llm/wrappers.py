@@ -6,6 +6,7 @@ import html as references
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -39,7 +40,7 @@ CLOSES = {t: {"p"} for t in BLOCKS - {"br", "html", "body"}} | {
 SCOPES = set("article aside blockquote body div dl footer form header html main nav ol section table td th ul".split())
 #: Elements that never hold main text.
 DROPPED = set("head nav footer aside form script style noscript template button input label menu dialog iframe".split())
-#: Roles and parts of class names and ids that mark what is not main text.
+#: Roles, and class names and ids or their first parts, that mark what is not main text.
 DROPPED_ROLES = set("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 DROPPED_NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense adsbygoogle banner promo promoted promotion sponsor sponsored "
@@ -48,6 +49,10 @@ DROPPED_NAMES = set(
     "social related recommended recommendations comment comments commentlist disqus respond reply replies footer "
     "masthead toolbar login search widget widgets skip".split()
 )
+#: Names of what readers add, which may be longer than the main text.
+COMMENT_NAMES = set("comment comments commentlist disqus respond reply replies".split())
+#: Leading parts of a class name that say where its element stands.
+PLACES = set("site page main post entry article primary secondary global left right top bottom".split())
 #: Names that mark main text where a host uses neither article nor main.
 MAIN_NAMES = set("content article post entry story main".split())
 
@@ -71,7 +76,8 @@ class Node:
         if rest and "=" in rest:
             found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(rest)}
             self.role = found.get("role", "").strip()
-            self.names = tuple(sorted({p for k in ("class", "id") for p in _NAME_PARTS.split(found.get(k, "")) if p}))
+            tokens = {_NAME_PARTS.sub("-", t).strip("-") for k in ("class", "id") for t in found.get(k, "").split()}
+            self.names = tuple(sorted(tokens - {""}))
             self.symbol = ".".join([tag, *self.names]) + (f"@{self.role}" if self.role else "")
 
 
@@ -249,13 +255,32 @@ def expression(wrapper: list) -> str:
     return "".join(out)
 
 
+@lru_cache(1 << 14)
 def unwanted(symbol: str) -> bool:
+    """Whether an element's tag or role says that it is not main text."""
     tag, _, rest = symbol.partition(".")
     tag, _, role = tag.partition("@")
-    rest, _, late = rest.partition("@")
-    return tag in DROPPED or (role or late) in DROPPED_ROLES or any(n in DROPPED_NAMES for n in rest.split("."))
+    return tag in DROPPED or (role or rest.partition("@")[2]) in DROPPED_ROLES
 
 
+def listed_name(token: str) -> str | None:
+    """The name in DROPPED_NAMES that a class name or id is or begins with, after words of place: sidebar, sidebar-left, left-sidebar."""
+    parts = token.split("-")
+    while len(parts) > 1 and parts[0] in PLACES:
+        parts = parts[1:]
+    return parts[0] if parts[0] in DROPPED_NAMES else None
+
+
+@lru_cache(1 << 14)
+def listed(symbol: str) -> str | None:
+    """Such a name of an element, of comments if there is one. Elements that are main text by their tag or role have none."""
+    if symbol.split("@")[0].split(".")[0] in ("html", "body", "main", "article") or symbol.endswith("@main"):
+        return None
+    found = [n for n in map(listed_name, symbol.partition("@")[0].split(".")[1:]) if n]
+    return next((n for n in found if n in COMMENT_NAMES), found[0] if found else None)
+
+
+@lru_cache(1 << 14)
 def kind_of(symbol: str) -> str | None:
     """How an element marks main text."""
     tag = re.split(r"[.@]", symbol)[0]
@@ -263,18 +288,21 @@ def kind_of(symbol: str) -> str | None:
         return "article"
     if tag == "main" or symbol.endswith("@main"):
         return "main"
-    return "named" if MAIN_NAMES & set(symbol.partition("@")[0].split(".")[1:]) else None
+    tokens = [t for t in symbol.partition("@")[0].split(".")[1:] if not listed_name(t)]
+    return "named" if any(MAIN_NAMES & set(t.split("-")) for t in tokens) else None
 
 
 def decide(wrapper: list) -> dict:
     """What holds the main text of a host. ``tree``: its wrapper, menus flagged "M". Symbol paths are numbered by
-    ``paths`` from the parent's number and the symbol; ``main`` and ``dropped`` hold such numbers.
+    ``paths`` from the parent's number and the symbol; ``main``, ``dropped`` and ``spared`` hold such numbers.
 
-    A menu is one group at its place in the wrapper, never all elements with its path.
+    A menu is one group at its place in the wrapper, never all elements with its path. Elements with a
+    name in DROPPED_NAMES are spared if all of the host's main parts are in such elements.
     """
     paths: dict[tuple[int, str], int] = {}
     dropped: set[int] = set()
     mains: dict[str, set[int]] = {"article": set(), "main": set(), "named": set()}
+    doubtful: dict[str, list] = {"article": [], "main": [], "named": []}
     order: list = []
     stack: list = [(wrapper, None)]
     while stack:
@@ -287,9 +315,9 @@ def decide(wrapper: list) -> dict:
             holds |= {id(node), id(parent)}
 
     top = paths[-1, wrapper[0]] = 0
-    stack = [(wrapper, top, False)]
+    stack = [(wrapper, top, False, None)]
     while stack:
-        node, path, inside = stack.pop()
+        node, path, inside, names = stack.pop()
         symbol, flags, kids = node
         tag, kind = re.split(r"[.@]", symbol)[0], kind_of(symbol)
         if unwanted(symbol) or (tag == "header" and not inside):
@@ -299,12 +327,21 @@ def decide(wrapper: list) -> dict:
         if links and not inside and not kind and id(node) not in holds:
             node[1] = flags + "M"
             continue
-        if kind:
+        if listed(symbol):
+            names = (path, names)
+        if kind and names:
+            doubtful[kind].append((path, names))
+        elif kind:
             mains[kind].add(path)
         inside = inside or kind in ("article", "main")
-        stack.extend((k, paths.setdefault((path, k[0]), len(paths)), inside) for k in reversed(kids))
-    best = next((m for m in mains.values() if m), {top})
-    return {"tree": wrapper, "paths": paths, "main": best, "dropped": dropped}
+        stack.extend((k, paths.setdefault((path, k[0]), len(paths)), inside, names) for k in reversed(kids))
+    best, spared = next((m for m in mains.values() if m), set()), set()
+    for path, names in [] if best else next((d for d in doubtful.values() if d), []):
+        best.add(path)
+        while names and names[0] not in spared:
+            spared.add(names[0])
+            names = names[1]
+    return {"tree": wrapper, "paths": paths, "main": best or {top}, "dropped": dropped, "spared": spared}
 
 
 def place(root: Node, decided: dict) -> None:
@@ -339,14 +376,18 @@ def place(root: Node, decided: dict) -> None:
 
 
 def text_of(page: str, decided: dict) -> str:
-    """Blocks of the main text of a page. Without its host's main part, the page less what is dropped."""
-    mains, dropped = decided["main"], decided["dropped"]
+    """Blocks of the main text of a page. Without its host's main part, the page less what is dropped; if nothing is left, names drop nothing."""
+    mains, dropped, spared = decided["main"], decided["dropped"], decided["spared"]
     root = parse(page)
     order = preorder(root)
     weigh(order)
     place(root, decided)
 
-    def collect(everything: bool) -> list[str]:
+    def by_name(node: Node) -> bool:
+        name = listed(node.symbol)
+        return bool(name) and node.path not in spared and (name in COMMENT_NAMES or 2 * node.plain <= root.plain)
+
+    def collect(everything: bool, names: bool = True) -> list[str]:
         blocks, current = [], []
 
         def end() -> None:
@@ -362,7 +403,7 @@ def text_of(page: str, decided: dict) -> str:
                 end()
             elif isinstance(node, str):
                 current.append(node)
-            elif not (node.menu or node.path in dropped or unwanted(node.symbol)):
+            elif not (node.menu or node.path in dropped or unwanted(node.symbol) or (names and by_name(node))):
                 inside = inside or node.path in mains
                 if node.tag in BLOCKS:
                     end()
@@ -371,7 +412,7 @@ def text_of(page: str, decided: dict) -> str:
         end()
         return blocks
 
-    return " ".join(collect(False) or collect(True))
+    return " ".join(collect(False) or collect(True) or collect(False, False) or collect(True, False))
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
@@ -410,7 +451,9 @@ def extract(pages: DataFrame) -> DataFrame:
     The wrapper of a page's host says which elements hold main text: articles, else main,
     else elements named like content, else the whole body, always less menus, site
     headers, footers, sidebars, notices, adverts, forms and comments. A repeated group outside of the main
-    part whose texts are all links, one at least, counts as a menu at its place in the wrapper. Null and empty pages have an empty text; pages
+    part whose texts are all links, one at least, counts as a menu at its place in the wrapper. Class names
+    and ids drop no html, body, main or article, nothing that holds all of the host's main parts and, comments
+    apart, nothing with most of the page's text outside of links. Null and empty pages have an empty text; pages
     without a host share the empty host. Repeated rows are extracted each; a column named host is not needed.
     """
     rows = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), host_of(F.col("url")).alias("host"))
