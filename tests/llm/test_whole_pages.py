@@ -59,3 +59,20 @@ def test_menu_of_a_host_leaves_pages_without_it():
 )
 def test_names_drop_no_main_text(page, text):
     assert texts(page) == [text]
+
+
+@pytest.mark.parametrize("tag", ["video-player", "title-bar", "select-menu", "svg-icon"])
+def test_custom_elements_are_no_raw_elements(tag):
+    assert texts(f"<body><{tag}>one</{tag}><p>two</p></body>") == ["one two"]
+
+
+@pytest.mark.parametrize("empty", ["<svg/>", '<svg viewBox="0 0 1 1" />', "<math />", "<svg><title>no</title></svg>", "<script>no</script >"])
+def test_text_after_raw_elements_stays(empty):
+    assert texts(f"<body><p>one</p>{empty}<p>two</p></body>") == ["one two"]
+
+
+@pytest.mark.parametrize("depth", [150, 250, 20_000])
+def test_deep_pages(depth):
+    page = "<body><article>" + "<div>" * depth + "<p>in</p><aside>no</aside>" + "</div>" * depth + "<p>out</p></article><p>no</p></body>"
+    assert texts(page, page.replace("in", "im")) == ["in out", "im out"]
+    assert wrappers.expression(wrappers.shape(wrappers.parse(page))).count("<div>") == depth

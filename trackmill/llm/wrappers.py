@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,7 +59,8 @@ MAIN_NAMES = set("content article post entry story main".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    rf"|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<empty>svg|math)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*(?:>|\Z)|\Z)"
     r"|</(?P<close>[a-z][^\s/>]*)[^>]*(?:>|\Z)"
     r"|<(?P<open>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.I | re.S,
@@ -85,28 +87,34 @@ def parse(page: str) -> Node:
     """The element tree; texts are str children. Tags left open are closed as browsers do for the common cases."""
     root = Node("html")
     stack = [root]
+    open_tags: Counter[str] = Counter()
+
+    def leave(i: int) -> None:
+        open_tags.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             stack[-1].kids.append(page[at : m.start()])
         at = m.end()
-        if m["raw"]:
-            stack[-1].kids.append(Node(m["raw"].lower()))
+        if m["raw"] or m["empty"]:
+            stack[-1].kids.append(Node((m["raw"] or m["empty"]).lower()))
         elif m["close"]:
             tag = m["close"].lower()
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    leave(i)
                     break
                 if stack[i].tag in SCOPES and tag not in SCOPES:
                     break
         elif m["open"]:
             tag = m["open"].lower()
             ends = CLOSES.get(tag)
-            if ends:
+            if ends and any(open_tags[t] for t in ends):
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag in ends:
-                        del stack[i:]
+                        leave(i)
                         break
                     if stack[i].tag in SCOPES:
                         break
@@ -114,8 +122,9 @@ def parse(page: str) -> Node:
                 continue
             node = Node(tag, m["rest"])
             stack[-1].kids.append(node)
-            if tag not in VOID and not m["rest"].endswith("/") and len(stack) < 200:
+            if tag not in VOID and not m["rest"].endswith("/"):
                 stack.append(node)
+                open_tags[tag] += 1
     if at < len(page):
         stack[-1].kids.append(page[at:])
     return root
