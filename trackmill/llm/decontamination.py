@@ -1,4 +1,4 @@
-"""Operator 8: benchmark passages in documents by spaced-seed hashing."""
+"""Operator 8: benchmark passages in documents by seeds so short that no overlap can avoid them."""
 
 from __future__ import annotations
 
@@ -7,17 +7,14 @@ from pyspark.sql import functions as F
 
 from .shared import settle
 
-#: Fixed masks over twelve tokens: 1 is hashed, 0 may differ.
-MASKS = ("110110010111", "111010011011", "101101110011")
-SPAN = 12
-#: Items below SPAN words are looked up whole, down to this length; shorter ones match nothing.
+#: Shorter items match nothing.
 SHORTEST = 5
 #: A match counts 1, a substitution counts this.
 SUBSTITUTION = -2
 #: Best stretch on a diagonal that makes an overlap, and the share of a whole item that does as well.
 SCORE = 15
 SHARE = 0.8
-#: Seeds of a benchmark up to so many text bytes are broadcast: three rows of about 60 bytes a word.
+#: Seeds of a benchmark up to so many text bytes are broadcast: a row of about 60 bytes a word.
 BROADCAST_BYTES = 1 << 20
 
 
@@ -26,14 +23,28 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def seed_width(n: Column) -> Column:
+    """Words of the longest seed that every overlap of an item of ``n`` words holds whole.
+
+    s substitutions leave the m other words in s + 1 runs, the longest of m / (s + 1) words at
+    least. The worst cases are the most substitutions that SHARE of the item or, in the item's
+    length, a stretch of SCORE allows. From 5 words on this is 2, 3 or 4.
+    """
+    least = F.ceil(F.lit(SHARE) * n)
+    width = F.ceil(least / (n - least + 1))
+    s = F.floor((n - SCORE) / F.lit(1 - SUBSTITUTION))
+    stretch = F.when(n >= SCORE, F.ceil((SCORE - SUBSTITUTION * s) / (s + 1)))
+    return F.least(width, stretch).cast("int")
+
+
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, score, n_matched, n_item_words, doc_start.
 
-    Every window of SPAN words is hashed once per mask on both sides and joined. A
-    joined window fixes a diagonal, on which the whole item is compared with the document
-    word by word: the overlap stands if its best stretch (matches less penalties for
-    substitutions) reaches SCORE, or SHARE of the item's words match. Items shorter than
-    SPAN are hashed whole with their length. ``doc_start``: first word of the item's place,
+    Every window of ``seed_width`` words of an item is hashed, and every window of such a width
+    of a document, and joined. A joined window fixes a diagonal, on which the whole item is
+    compared with the document word by word: the overlap stands if its best stretch (matches
+    less penalties for substitutions) reaches SCORE, or SHARE of the item's words match. No
+    such overlap is without a joined window. ``doc_start``: first word of the item's place,
     negative if the document begins inside the item.
 
     The seeds of a small benchmark, by its measured size, are broadcast; those of a large
@@ -46,18 +57,16 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.distinct().withColumns(
         {"n_item_words": F.size("item_words"), "item_key": F.xxhash64("item_words", F.lit(7))}
     )
+    items = items.withColumn("width", seed_width(F.col("n_item_words")))
     facts = benchmark.agg(F.sum(F.octet_length("text")).alias("size")).first()
-    short = [
-        r[0]
-        for r in items.filter(F.col("n_item_words") < SPAN).select("n_item_words").distinct().collect()
-    ]  # at most SPAN - SHORTEST numbers
-    seeds = _windows(items.withColumnRenamed("item_words", "words"), short, whole=True).select(
+    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # three numbers at most
+    seeds = _windows(items.withColumnRenamed("item_words", "words"), widths, F.col("width")).select(
         "seed", "item_id", "item_key", F.col("at").alias("item_at"), "n_item_words"
     )
     seeds = seeds.distinct()
     seeds = F.broadcast(seeds) if (facts["size"] or 0) <= BROADCAST_BYTES else seeds
     read = documents.select("doc_id", tokens(F.col("text")).alias("words"))
-    hits = _windows(read, short).join(seeds, "seed")
+    hits = _windows(read, widths).join(seeds, "seed")
     diagonal = (F.col("at") - F.col("item_at")).alias("doc_start")
     hits = hits.select(
         "doc_id",
@@ -73,21 +82,17 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _verified(hits.join(named, same_item))
 
 
-def _windows(rows: DataFrame, short: list[int], whole: bool = False) -> DataFrame:
-    """Seeds of all windows. ``whole``: a short length only for rows of that length."""
-    n = F.size("words")
-    long = F.when(n >= SPAN, F.sequence(F.lit(0), n - SPAN))
-    placed = rows.withColumn("at", F.explode(long))
-    masked = [
-        F.xxhash64(F.lit(m), *[F.get("words", F.col("at") + i) for i, bit in enumerate(mask) if bit == "1"])
-        for m, mask in enumerate(MASKS)
-    ]
-    found = placed.withColumn("seed", F.explode(F.array(*masked)))
-    for length in short:
-        places = F.when((n == length) if whole else (n >= length), F.sequence(F.lit(0), n - length))
-        exact = F.xxhash64(F.lit(100 + length), *[F.get("words", F.col("at") + i) for i in range(length)])
-        found = found.unionByName(rows.withColumn("at", F.explode(places)).withColumn("seed", exact))
-    return found
+def _windows(rows: DataFrame, widths: list[int], own: Column | None = None) -> DataFrame:
+    """Seeds of all windows of the widths. ``own``: only of a row's own width."""
+    n, at = F.size("words"), F.col("at")
+    placed = rows.withColumn("at", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
+    found = []
+    for width in widths:
+        seed = F.xxhash64(F.lit(width), *[F.get("words", at + i) for i in range(width)])
+        fits = at <= n - width
+        found.append(F.when(fits if own is None else fits & (own == width), seed))
+    seed = F.explode(F.array(*found)) if found else F.lit(None).cast("long")
+    return placed.withColumn("seed", seed).filter("seed is not null")
 
 
 def _verified(hits: DataFrame) -> DataFrame:
