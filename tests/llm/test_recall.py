@@ -2,9 +2,10 @@
 
 from itertools import combinations, product
 
+import numpy as np
 import pytest
 
-from trackmill.llm import decontamination
+from trackmill.llm import chunks, decontamination
 
 
 @pytest.mark.parametrize("n", [5, 6, 8, 10, 11, 12, 13, 15, 18])
@@ -47,3 +48,34 @@ def test_benchmark_finds_stretches_with_evenly_spread_substitutions(spark, n):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
     assert {r.doc_id for r in decontamination.overlaps(frame, benchmark).collect()} == expected != set()
+
+
+def test_repeated_passages_are_found_whole(spark):
+    """Passages of 50 to 60 short words in different surroundings: nearly all, and up to their last byte."""
+    random = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in random.integers(0, 26, random.integers(2, 8))) for _ in range(n))
+    passages = [words(int(random.integers(50, 61))) for _ in range(400)]
+    rows = [(2 * i + j, f"{words(20)} {j} {p} {j} {words(20)}") for i, p in enumerate(passages) for j in (0, 1)]
+    found = {r.doc_id: r.n_removed for r in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    whole = [found[2 * i + 1] == len(p) + 2 for i, p in enumerate(passages)]
+    assert all(found[2 * i] == 0 for i in range(400)) and sum(whole) >= 394, sum(whole)
+    assert all(found[2 * i + 1] in (0, len(p) + 2) for i, p in enumerate(passages))
+
+
+def test_growth_goes_on_beyond_the_first_context(spark, monkeypatch):
+    random = np.random.default_rng(12)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in random.integers(0, 26, 6)) for _ in range(n))
+    passage = words(60)
+    rows = [(i, f"{words(30)} {i} {passage} {i} {words(30)}") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, chunks.repeated_spans(frame).collect()))
+    assert [r[2] for r in whole] == [0] + [len(passage) + 2] * 3
+    monkeypatch.setattr(chunks, "CONTEXT", 2)
+    monkeypatch.setattr(chunks, "WIDER", 8)
+    assert sorted(map(tuple, chunks.repeated_spans(frame).collect())) == whole
+
+
+def test_copies_of_short_documents_are_removed(spark):
+    rows = [(1, "a short text"), (2, "a short text"), (3, "another"), (2, "a short text"), (5, "a short text and more"), (6, "")]
+    found = chunks.documents_to_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in found) == [(1, 0, 0), (2, 12, 1), (2, 12, 1), (3, 0, 0), (5, 0, 0), (6, 0, 0)]

@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, pieces, prefix_hash, span_hash
+from .shared import BYTE_VALUES, pieces, prefix_hash, settle, span_hash
 
 #: A cut follows a byte at which so many bits of the gear hash are zero, SMALLEST bytes after the last cut at the earliest.
 BITS = 5
 SMALLEST, LARGEST = 16, 256
-#: Runs of repeated chunks below so many bytes stay.
+#: Repeated passages below so many bytes stay, but for copies of whole documents.
 LEAST_RUN = 96
+#: Bytes around a run that are compared at first; where all are equal, WIDER times as many are next.
+CONTEXT = 256
+WIDER = 64
 #: The hash sees this many bytes.
 REACH = 16
 
@@ -82,12 +85,14 @@ def chunk(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def repeated_spans(documents: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+def repeated_spans(documents: DataFrame, least_run: int = LEAST_RUN, short_copies: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and spans of every document.
 
     A chunk is repeated if an equal one stands before it, in the same document or in one with a
-    smaller id; the first of all stays. ``spans``: runs of adjacent repeated chunks of
-    ``least_run`` bytes or more, as (start, length) in UTF-8 bytes.
+    smaller id; the first of all stays. Runs of adjacent repeated chunks grow byte by byte at both
+    ends as far as the text around the kept chunk is the same. ``spans``: such passages of
+    ``least_run`` bytes or more, as (start, length) in UTF-8 bytes; with ``short_copies``, as in
+    query op7, also shorter documents whole that equal one with a smaller id.
 
     Counts are combined before the shuffle, so a chunk that a third of all documents share is one
     row per task; only digests found twice are joined back. Null and empty texts have zero bytes
@@ -103,8 +108,26 @@ def repeated_spans(documents: DataFrame, least_run: int = LEAST_RUN) -> DataFram
     later = rows.join(firsts, digest).filter(
         ~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("start") == F.col("kept.start")))
     )
-    found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("found"))
-    runs = found.select("doc_id", _runs(F.col("found"), least_run).alias("spans"))
+    kept = (F.col("kept.doc_id").alias("kept_id"), F.col("kept.start").alias("kept_at"))
+    found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length", *kept))).alias("found"))
+    runs = settle(found.select("doc_id", _runs(F.col("found")).alias("runs")))
+    ends = _grown(documents, runs).groupBy("doc_id", "left", "at").agg(F.min("grown").alias("grown"))
+    sides = [F.collect_list(F.when(c, F.struct("at", "grown"))).alias(n) for n, c in (("lefts", F.col("left")), ("rights", ~F.col("left")))]
+    ends = ends.groupBy(F.col("doc_id").alias("grown_id")).agg(*sides)
+    wide = runs.join(ends, runs["doc_id"].eqNullSafe(ends["grown_id"]), "left")
+    lefts, rights = (F.coalesce(F.map_from_entries(n), F.create_map().cast("map<int,int>")) for n in ("lefts", "rights"))
+    wide = wide.select("doc_id", "runs", lefts.alias("lefts"), rights.alias("rights"))
+
+    def passage(x: Column) -> Column:
+        end = x["start"] + x["length"]
+        before, after = (F.coalesce(F.try_element_at(F.col(n), at), F.lit(0)) for n, at in (("lefts", x["start"]), ("rights", end)))
+        return F.struct((x["start"] - before).alias("start"), (x["length"] + before + after).alias("length"))
+
+    passages = F.filter(F.transform("runs", passage), lambda x: x["length"] >= least_run)
+    long = wide.select("doc_id", _apart(F.array_sort(passages), least_run).alias("spans"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("length")))
+    spans = long.unionByName(_short_copies(documents, least_run).select("doc_id", whole.alias("spans"))) if short_copies else long
+    runs = spans.groupBy("doc_id").agg(_apart(F.array_sort(F.flatten(F.collect_list("spans"))), least_run).alias("spans"))
     sizes = documents.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     named = runs.select(F.col("doc_id").alias("own_id"), "spans")
     joined = sizes.join(named, sizes["doc_id"].eqNullSafe(named["own_id"]), "left")
@@ -119,26 +142,125 @@ def repeated_spans(documents: DataFrame, least_run: int = LEAST_RUN) -> DataFram
     )
 
 
-def _runs(found: Column, least: int) -> Column:
-    """Adjacent chunks merged to runs, short runs dropped. At most one document's chunks."""
+def _runs(found: Column) -> Column:
+    """Adjacent chunks merged to runs, with the kept places of their two ends. At most one document's chunks."""
+    names = ("start", "length", "left_id", "left_at", "right_id", "right_at")
 
-    def step(seen: Column, x: Column) -> Column:
-        joins = seen["start"] + seen["length"] == x["start"]
-        begun = F.struct(x["start"].alias("start"), x["length"].alias("length"))
-        grown = F.struct(seen["start"].alias("start"), (seen["length"] + x["length"]).alias("length"))
-        last = F.when(joins, grown).otherwise(begun)
-        done = F.when(joins | (seen["length"] < least), seen["done"]).otherwise(
-            F.concat(seen["done"], F.array(F.struct(seen["start"].alias("start"), seen["length"].alias("length"))))
-        )
-        return F.struct(last["start"].alias("start"), last["length"].alias("length"), done.alias("done"))
+    def run(*values: Column) -> Column:
+        return F.struct(*[v.alias(n) for n, v in zip(names, values, strict=True)])
+
+    def step(runs: Column, x: Column) -> Column:
+        last = F.get(runs, F.size(runs) - 1)
+        end = x["kept_at"] + x["length"]
+        begun = F.array(run(x["start"], x["length"], x["kept_id"], x["kept_at"], x["kept_id"], end))
+        longer = run(last["start"], last["length"] + x["length"], last["left_id"], last["left_at"], x["kept_id"], end)
+        joins = F.coalesce(last["start"] + last["length"] == x["start"], F.lit(False))
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, begun))
+
+    first = F.get(found, 0)
+    none = F.slice(F.array(run(first["start"], first["length"], first["kept_id"], first["kept_at"], first["kept_id"], first["kept_at"])), 1, 0)
+    return F.aggregate(found, none, step)
+
+
+def _apart(found: Column, least: int) -> Column:
+    """Sorted spans without common bytes: the later one is cut, or one with the former if too little of it is left. At most one document's."""
+
+    def span(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), (end - start).alias("length")))
+
+    def step(spans: Column, x: Column) -> Column:
+        last = F.get(spans, F.size(spans) - 1)
+        last_end, end = F.coalesce(last["start"] + last["length"], F.lit(0)), x["start"] + x["length"]
+        start = F.greatest(last_end, x["start"])
+        one = (x["start"] < last_end) & (end - start < least)
+        longer = F.concat(F.slice(spans, 1, F.size(spans) - 1), span(last["start"], F.greatest(last_end, end)))
+        return F.when(one, longer).otherwise(F.concat(spans, span(start, end)))
+
+    return F.aggregate(found, F.array().cast("array<struct<start:int,length:int>>"), step)
+
+
+def _short_copies(documents: DataFrame, least: int) -> DataFrame:
+    """doc_id and size of documents below ``least`` bytes whose text a smaller id has too."""
+    text = F.col("text").cast("string").alias("text")
+    short = documents.select("doc_id", text).filter((F.octet_length("text") > 0) & (F.octet_length("text") < least))
+    first = short.groupBy("text").agg(F.min(F.struct("doc_id")).alias("kept"), F.count(F.lit(1)).alias("n"))
+    copies = short.join(first.filter("n > 1"), "text").filter(~F.col("doc_id").eqNullSafe(F.col("kept.doc_id")))
+    return copies.select("doc_id", F.octet_length("text").alias("size")).distinct()
 
-    empty = F.struct(
-        F.lit(-1).alias("start"), F.lit(0).alias("length"), F.array().cast("array<struct<start:int,length:int>>").alias("done")
+
+def _grown(documents: DataFrame, runs: DataFrame) -> DataFrame:
+    """doc_id, left, at and grown: by how many bytes each run grows at its ends, up to its neighbours.
+
+    Only the bytes around the ends and around their kept places leave the documents. Of several texts with one
+    id, all are compared and the least growth counts.
+    """
+    rest = runs.select("doc_id", F.posexplode("runs").alias("i", "run"), "runs")
+    before, after = F.get("runs", F.col("i") - 1), F.get("runs", F.col("i") + 1)
+    end = F.col("run.start") + F.col("run.length")
+    most = F.lit(2**31 - 1)
+    left = F.struct(
+        F.lit(True).alias("left"),
+        F.col("run.start").alias("at"),
+        F.least(F.col("run.start") - F.coalesce(before["start"] + before["length"], F.lit(0)), F.col("run.left_at")).alias("room"),
+        F.col("run.left_id").alias("kept_id"),
+        F.col("run.left_at").alias("kept_at"),
     )
-    closing = F.array(F.struct(F.lit(-2).alias("start"), F.lit(0).alias("length")))
-    return F.aggregate(F.concat(found, closing), empty, step, lambda s: s["done"])
+    right = F.struct(
+        F.lit(False).alias("left"),
+        end.alias("at"),
+        F.coalesce(after["start"] - end, most).alias("room"),
+        F.col("run.right_id").alias("kept_id"),
+        F.col("run.right_at").alias("kept_at"),
+    )
+    edges = rest.select("doc_id", F.explode(F.array(left, right)).alias("edge")).select("doc_id", "edge.*").filter("room > 0")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, left boolean, at int, room int, kept_id {kind}, kept_at int, grown int"
+    names = ["doc_id", "left", "at", "room", "kept_id", "kept_at"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(n).to_pylist() for n in ("left", "room", "own", "kept")]
+            grown = [min(common(a, b, x, room) for a in own for b in kept) for x, room, own, kept in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(grown, pa.int32())], [*names, "grown"])
+
+    done, reach = None, CONTEXT
+    while True:
+        places = edges.select("doc_id", "at", "left").unionByName(edges.select(F.col("kept_id").alias("doc_id"), F.col("kept_at").alias("at"), "left"))
+        places = places.groupBy("doc_id").agg(F.collect_set(F.struct("at", "left")).alias("places")).withColumnRenamed("doc_id", "place_id")
+        data = documents.select("doc_id", F.col("text").cast("string").cast("binary").alias("data"))
+        cut = F.expr(
+            f"transform(places, p -> struct(p.at, p.left, substring(data, if(p.left, greatest(p.at - {reach}, 0), p.at) + 1, "
+            f"if(p.left, least(p.at, {reach}), {reach})) as bytes))"
+        )
+        joined = data.join(places, data["doc_id"].eqNullSafe(places["place_id"]))
+        bytes_at = joined.select("place_id", F.explode(cut).alias("p")).groupBy("place_id", F.col("p.at").alias("place_at"), F.col("p.left").alias("place_left"))
+        bytes_at = settle(bytes_at.agg(F.collect_set("p.bytes").alias("bytes")))
+        own = bytes_at.withColumnRenamed("bytes", "own")
+        near = edges.join(own, edges["doc_id"].eqNullSafe(own["place_id"]) & (edges["at"] == own["place_at"]) & (edges["left"] == own["place_left"]))
+        near = near.select(*[edges[n] for n in names], "own").filter("exists(own, x -> octet_length(x) > 0)")
+        kept = bytes_at.withColumnRenamed("bytes", "kept")
+        near = near.join(kept, near["kept_id"].eqNullSafe(kept["place_id"]) & (near["kept_at"] == kept["place_at"]) & (near["left"] == kept["place_left"]))
+        found = settle(near.select(*names, "own", "kept").mapInArrow(compare, schema))
+        more = (F.col("grown") >= reach) & (F.col("room") > reach)
+        part = found.filter(~more & (F.col("grown") > 0))
+        done = part if done is None else done.unionByName(part)
+        if reach == 2**31 - 1 or not found.filter(more).limit(1).count():
+            break
+        edges = found.filter(more).drop("grown")
+        reach = min(reach * WIDER, 2**31 - 1)
+    return done.select("doc_id", "left", "at", "grown")
+
+
+def common(a: bytes, b: bytes, left: bool, room: int) -> int:
+    """Equal bytes at the ends (``left``) or beginnings of a and b, at most ``room``."""
+    n = min(len(a), len(b), room)
+    if n == 0:
+        return 0
+    x, y = (np.frombuffer(t[len(t) - n :] if left else t[:n], np.uint8) for t in (a, b))
+    other = np.flatnonzero(x != y)
+    return n if not len(other) else int(n - 1 - other[-1] if left else other[0])
 
 
 def documents_to_repeats(documents: DataFrame) -> DataFrame:
     """Query op7."""
-    return repeated_spans(documents)
+    return repeated_spans(documents, short_copies=True)
