@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from trackmill.operators.runs import explode_stages, flatten
 from trackmill.operators.tracks import quality_counts
-from trackmill.operators.validation import orphans, run_track_problems
+from trackmill.operators.validation import duplicate_keys, orphans, run_track_problems
 from trackmill.schemas import EVALUATED_COLUMNS, RUN_COLUMNS, STAGE_FIELDS, ddl
 from trackmill.sources.csv_tables import exists, is_missing
 from trackmill.sources.documents import import_report, importable, scan_manifests
@@ -85,7 +85,7 @@ def _overwrite(rows: DataFrame, path: str, partition: str, sort: list[str]) -> N
 
 
 def latest_per_run(batch: DataFrame, order: str | None = None) -> DataFrame:
-    """Last version of every run in a batch; without ``order`` ids must not repeat."""
+    """Last version of every run in a batch; without ``order`` ids must not repeat, which ``save_manifests`` checks."""
     if order is None:
         return batch
     last = W.partitionBy("run_id").orderBy(F.col(order).desc())
@@ -99,8 +99,15 @@ def upserted(existing: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def replaced(existing: DataFrame, runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Child rows after the rows of ``runs`` are replaced; a run without rows is emptied."""
-    return without_runs(existing, runs).unionByName(rows.join(runs, "run_id", "left_semi"))
+    """Child rows after the rows of ``runs`` are replaced; a run without rows is emptied.
+
+    Lazy; a row of any other run is an error when the result is computed.
+    """
+    named = runs.select("run_id").distinct().withColumn("_named", F.lit(True))
+    message = F.concat(F.lit("Rows of a run that is not replaced: "), F.coalesce("run_id", F.lit("null")))
+    checked = F.coalesce("_named", F.raise_error(message).cast("boolean"))
+    fresh = rows.join(named, "run_id", "left").where(checked).drop("_named")
+    return without_runs(existing, runs).unionByName(fresh)
 
 
 def without_runs(children: DataFrame, removed: DataFrame) -> DataFrame:
@@ -140,6 +147,10 @@ def save_manifests(
     spark: SparkSession, root: str, documents: DataFrame, order: str | None = None
 ) -> None:
     """Insert or replace runs with their stages; ``order`` ranks versions of one run."""
+    if order is None:
+        repeated = duplicate_keys(documents, ("run_id",)).limit(1).collect()
+        if repeated:
+            raise ValueError(f"A batch without order has run {repeated[0].run_id} {repeated[0].copies} times")
     batch = latest_per_run(documents, order)
     runs = batch.select("run_id")
     stages = explode_stages(batch)
@@ -171,6 +182,11 @@ def replace_tracks(
     problem = run_track_problems(tracks).limit(1).collect()
     if problem:
         raise ValueError(f"{problem[0].problem} (run {problem[0].run_id})")
+    outside = orphans(tracks, runs).groupBy("run_id").agg(F.count("*").alias("n"))
+    first = F.min(F.struct(F.coalesce("run_id", F.lit("null")).alias("run_id"))).alias("first")
+    lost = outside.agg(F.sum("n").alias("rows"), F.count("*").alias("runs"), first).first()
+    if lost.rows:
+        raise ValueError(f"{lost.rows} tracks of {lost.runs} runs that are not imported, the first {lost.first.run_id}")
     if known_runs_only:
         unknown = orphans(runs.select("run_id"), read_runs(spark, root)).limit(1).collect()
         if unknown:
