@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, decontamination, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
+from . import chunks, conversations, decontamination, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
 from .shared import table
 
 
@@ -46,6 +46,10 @@ def op10_sentencepiece(spark, folder):
     return pieces.documents_to_pieces(table(spark, folder, "documents"))
 
 
+def op12_conversation_repair(spark, folder):
+    return conversations.conversations_to_audits(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -57,6 +61,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL = {"op4_url_filters": url_filters.SQL}
