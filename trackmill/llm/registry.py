@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, conversations, decontamination, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
+from . import alignment, chunks, conversations, decontamination, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
 from .shared import table
 
 
@@ -50,6 +50,10 @@ def op12_conversation_repair(spark, folder):
     return conversations.conversations_to_audits(table(spark, folder, "conversations"))
 
 
+def op13_cross_tokenizer_alignment(spark, folder):
+    return alignment.documents_to_alignment(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -62,6 +66,7 @@ QUERIES = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
 SQL = {"op4_url_filters": url_filters.SQL}

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import shared_folder
+from ..session import new_path, shared_folder
 
 #: ASCII white space: blank and \t \n \v \f \r.
 BLANKS = (9, 10, 11, 12, 13, 32)
@@ -31,6 +31,13 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame, purpose: str) -> DataFrame:
+    """Compute once, write Parquet to the shared folder and read it back: compressed, and Spark knows its size."""
+    path = new_path(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Slices of a batch with about ``limit`` text bytes each: first row, end row, bytes, row offsets. Null is empty."""
     texts = batch.column(column)
