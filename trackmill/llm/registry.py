@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chunks, conversations, decontamination, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
+from . import alignment, chunks, conversations, decontamination, licenses, pieces, quality, sharding, similarity, suffixes, toxicity, url_filters, wrappers
 from .shared import table
 
 
@@ -46,6 +46,10 @@ def op10_sentencepiece(spark, folder):
     return pieces.documents_to_pieces(table(spark, folder, "documents"))
 
 
+def op11_license_scans(spark, folder):
+    return licenses.documents_to_licenses(table(spark, folder, "documents"))
+
+
 def op12_conversation_repair(spark, folder):
     return conversations.conversations_to_audits(table(spark, folder, "conversations"))
 
@@ -65,8 +69,9 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_license_scans": op11_license_scans,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_cross_tokenizer_alignment": op13_cross_tokenizer_alignment,
 }
 
-SQL = {"op4_url_filters": url_filters.SQL}
+SQL = {"op4_url_filters": url_filters.SQL, "op11_license_scans": licenses.SQL}
