@@ -15,6 +15,7 @@ from trackmill.functions.changes import (
 )
 from trackmill.functions.numbers import finite_or_null
 from trackmill.operators.runs import newest_first, processing_summary
+from trackmill.operators.skew import salted_join
 
 
 def metric_definitions(spark: SparkSession) -> DataFrame:
@@ -62,8 +63,8 @@ def default_pair(runs: DataFrame, group: str | None = None) -> DataFrame:
 def pair_metrics(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Pairs with ``b_`` and ``c_`` metric columns; equal or unknown ids give no row.
 
-    A run that is the baseline of very many pairs makes a skewed join key on the
-    pair side only, which adaptive execution splits.
+    A run that is the baseline (or the candidate) of very many pairs is a hot key: it is found by
+    counting the pairs, and only its metrics are repeated for the tasks that share its pairs.
     """
 
     def side(prefix: str, key: str) -> DataFrame:
@@ -72,11 +73,10 @@ def pair_metrics(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
             *[F.col(name).alias(f"{prefix}_{name}") for name in METRIC_NAMES],
         )
 
-    return (
-        pairs.where(F.col("baseline_run_id") != F.col("candidate_run_id"))
-        .join(side("b", "baseline_run_id"), "baseline_run_id")
-        .join(side("c", "candidate_run_id"), "candidate_run_id")
-    )
+    different = pairs.where(F.col("baseline_run_id") != F.col("candidate_run_id"))
+    spread = F.struct(*different.columns)
+    based = salted_join(different, side("b", "baseline_run_id"), "baseline_run_id", spread)
+    return salted_join(based, side("c", "candidate_run_id"), "candidate_run_id", spread, counted=different)
 
 
 def compare(pairs: DataFrame, metrics: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ from trackmill.operators import (
     tracks,
     validation,
 )
+from trackmill.operators.skew import salted_join
 from trackmill.plans import oracle as O
 from trackmill.schemas import EVALUATED_COLUMNS
 from trackmill.session import new_path
@@ -566,9 +567,8 @@ def _pairs(spark, sf_dir):
     ended = samples.run_headers(spark, sf_dir).where(F.col("status") != "running")
     age = F.struct("finished_at_utc", "run_id")
     first = ended.groupBy("config_id").agg(F.min_by("run_id", age).alias("baseline_run_id"))
-    pairs = ended.select("config_id", F.col("run_id").alias("candidate_run_id")).join(
-        first, "config_id"
-    )
+    candidates = ended.select("config_id", F.col("run_id").alias("candidate_run_id"))
+    pairs = salted_join(candidates, first, "config_id", "candidate_run_id")
     return pairs.where(F.col("baseline_run_id") != F.col("candidate_run_id")).select(
         "baseline_run_id", "candidate_run_id"
     )
