@@ -34,7 +34,7 @@ from trackmill.operators.skew import salted_join
 from trackmill.plans import oracle as O
 from trackmill.schemas import EVALUATED_COLUMNS
 from trackmill.session import new_path
-from trackmill.sources import csv_tables, documents, samples, tables
+from trackmill.sources import csv_tables, documents, fingerprints, samples, tables
 from trackmill.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -754,6 +754,51 @@ def fingerprint(spark, sf_dir):
     )
 
 
+_INPUT_FILES = """WITH files AS (
+    SELECT CAST(doc_id // 100 AS BIGINT) AS input_id, doc_id // 100 % 7 <> 6 AS present,
+        string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id, text) AS content
+    FROM documents GROUP BY doc_id // 100)"""
+
+
+def _input_files(spark, sf_dir):
+    """Text files of a hundred documents each, every seventh left out: their numbers and the folder."""
+    folder = new_path(spark, "inputs")
+    rows = samples.table(spark, sf_dir, "documents").select(
+        F.expr("doc_id div 100").alias("input_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    )
+    present = rows.where("input_id % 7 <> 6").repartition("input_id")
+    ordered = present.sortWithinPartitions("input_id", "doc_id", "text")
+    ordered.select("input_id", "text").write.partitionBy("input_id").text(folder)
+    return rows.select("input_id").distinct(), folder
+
+
+@query(
+    f"""{_INPUT_FILES} SELECT input_id, present AS exists,
+    CASE WHEN present THEN CAST(strlen(content) AS BIGINT) END AS size_bytes,
+    CASE WHEN present THEN sha256(content) END AS sha256 FROM files"""
+)
+def input_fingerprints(spark, sf_dir):
+    """Files that a table names, read in blocks; some are absent."""
+    wanted, folder = _input_files(spark, sf_dir)
+    files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.txt")
+    listed = files.select(F.col("input_id").cast("bigint").alias("input_id"), "path")
+    absent = F.concat(F.lit(f"{folder}/input_id="), F.col("input_id").cast("string"), F.lit("/absent.txt"))
+    named = wanted.join(listed, "input_id", "left").select("input_id", F.coalesce("path", absent).alias("path"))
+    return fingerprints.fingerprint_paths(named).drop("path")
+
+
+@query(
+    f"""{_INPUT_FILES} SELECT input_id, CAST(strlen(content) AS BIGINT) AS size_bytes,
+    sha256(content) AS sha256 FROM files WHERE present"""
+)
+def folder_fingerprints(spark, sf_dir):
+    """Every file of a folder, by the data source."""
+    _, folder = _input_files(spark, sf_dir)
+    found = fingerprints.fingerprint_folder(spark, folder, "*.txt", recursive=True)
+    number = F.regexp_extract("path", r"/input_id=(\d+)/", 1).cast("bigint")
+    return found.select(number.alias("input_id"), "size_bytes", "sha256")
+
+
 # ---- table maintenance -----------------------------------------------------
 
 

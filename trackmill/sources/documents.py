@@ -14,6 +14,7 @@ from trackmill.functions.documents import (
     stages_error,
     with_json,
 )
+from trackmill.sources.fingerprints import fingerprint_folder
 
 # Error texts of a metrics document.
 METRICS_NOT_OBJECT = "Metrics root value must be an object."
@@ -157,15 +158,5 @@ def content_fingerprint(content: Column) -> list[Column]:
 
 
 def fingerprint_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path, size and SHA-256 of files, hashed where they are read.
-
-    The binary source holds one file in memory at a time and refuses files over
-    2 GiB (``spark.sql.sources.binaryFile.maxLength`` lowers that bound).
-    """
-    files = spark.read.format("binaryFile").load(path, pathGlobFilter=glob)
-    return files.select(
-        F.col("path"),
-        F.lit(True).alias("exists"),
-        F.col("length").alias("size_bytes"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """Path, size and SHA-256 of the files of a folder, of any size."""
+    return fingerprint_folder(spark, path, glob)
