@@ -987,6 +987,17 @@ def stream_run_totals(spark, sf_dir):
     )
 
 
+@query(_RUN_TOTALS)
+def stream_closing_totals(spark, sf_dir):
+    """Run totals from streams whose recordings close 90 days after the newest one began."""
+    totals = live.RunTotals(spark, new_path(spark, "closing-totals"), "90 days")
+    totals.drain(
+        samples.with_recorded_at(samples.frames_from(live.file_stream(spark, sf_dir, "orders.parquet"))),
+        samples.with_recorded_at(samples.detections_from(live.file_stream(spark, sf_dir, "lineitem.parquet"))),
+    )
+    return totals.totals()
+
+
 @query(_FUSION)
 def stream_fusion(spark, sf_dir):
     messages = samples.messages_from(live.file_stream(spark, sf_dir, "events.parquet"))

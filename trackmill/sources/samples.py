@@ -66,6 +66,12 @@ def detections_from(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def with_recorded_at(rows: DataFrame) -> DataFrame:
+    """Add the start of each order recording: one an hour, in the order of their numbers."""
+    number = F.substring("run_id", 5, 20).cast("bigint") / FRAMES_PER_RECORDING
+    return rows.withColumn("recorded_at", F.timestamp_seconds(1_700_000_000 + number * 3600))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of the order recordings."""
     return frames_from(table(spark, sf_dir, "orders"))
