@@ -60,7 +60,7 @@ class Store:
         if self.run_source == "table":
             tracks = tables.read_tracks(self.spark, self.root)
             runs = tables.read_runs(self.spark, self.root)
-            newest = newest_run_with_tracks(runs, tracks).take(1)
+            newest = newest_run_with_tracks(runs, tables.read_track_counts(self.spark, self.root)).take(1)
             if newest:
                 # A literal id prunes the track table to one partition.
                 return tracks.where(F.col("run_id") == newest[0].run_id), "table"

@@ -1,32 +1,36 @@
 """Parquet tables of runs, stages and evaluated tracks, and their maintenance.
 
-Replacement is Spark's dynamic partition overwrite: new files are staged by all
-tasks and moved into place when the job commits, so a lost executor never leaves
-a half-written partition. Tracks are partitioned by run. Runs and stages are
-small per run and are partitioned by a shard of the run id; a change rewrites
-the touched shards. A run that is replaced by nothing leaves a marker row with a
-null key, because an overwrite without rows would keep the old partition; scans
-drop markers.
+Runs, stages and the number of tracks of each run are small per run and lie in shards of the
+run id; they change together by publishing a new list of shard versions, so a failure between
+their writes leaves all of them as they were. Tracks are partitioned by run and replaced
+by dynamic partition overwrite of a staged copy, which is what was checked: new files are moved into place
+when the job commits, so a lost executor never leaves a half-written partition. A run whose
+tracks are replaced by nothing leaves a marker row with a null key, because an overwrite without
+rows would keep the old partition; scans drop markers.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from trackmill.functions.documents import manifest_error, stages_error, with_json
 from trackmill.operators.runs import explode_stages, flatten
 from trackmill.operators.tracks import quality_counts
 from trackmill.operators.validation import duplicate_keys, orphans, run_track_problems
 from trackmill.schemas import EVALUATED_COLUMNS, RUN_COLUMNS, STAGE_FIELDS, ddl
-from trackmill.sources.csv_tables import exists, is_missing
+from trackmill.sources import published
+from trackmill.sources.csv_tables import is_missing
 from trackmill.sources.documents import import_report, importable, scan_manifests
 
 RUN_TABLE = RUN_COLUMNS | {"manifest_json": "string"}
 STAGE_TABLE = {"run_id": "string", "stage_index": "bigint"} | STAGE_FIELDS
 TRACK_TABLE = {"run_id": "string"} | EVALUATED_COLUMNS
-_SHARD = {"run_shard": "bigint"}
+COUNT_TABLE = {"run_id": "string", "track_count": "bigint"}
 SHARDS = 64
 
 
@@ -48,7 +52,7 @@ def _scan(spark: SparkSession, path: str, columns: dict[str, str], key: str) ->
 
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Run table with its partition column, for lookups that name the shard."""
-    return _scan(spark, f"{root}/runs", RUN_TABLE | _SHARD, "manifest_json")
+    return published.read(spark, root, "runs", RUN_TABLE)
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -58,7 +62,12 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
 
 def read_stages(spark: SparkSession, root: str) -> DataFrame:
     """Stage table."""
-    return _scan(spark, f"{root}/stages", STAGE_TABLE | _SHARD, "stage_index").drop("run_shard")
+    return published.read(spark, root, "stages", STAGE_TABLE).drop("run_shard")
+
+
+def read_track_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Runs that have stored tracks, with their number; reads no track."""
+    return published.read(spark, root, "track_counts", COUNT_TABLE).drop("run_shard").where("track_count > 0")
 
 
 def read_tracks(spark: SparkSession, root: str) -> DataFrame:
@@ -67,8 +76,8 @@ def read_tracks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def has_runs(spark: SparkSession, root: str) -> bool:
-    """Whether the run table exists."""
-    return exists(spark, f"{root}/runs")
+    """Whether runs were ever stored."""
+    return published.current(spark, root)[0] > 0
 
 
 def _overwrite(rows: DataFrame, path: str, partition: str, sort: list[str]) -> None:
@@ -121,54 +130,55 @@ def _absent(runs: DataFrame, rows: DataFrame) -> DataFrame:
     return runs.select("run_id").join(present, "run_id", "left_anti")
 
 
-def _rewrite_shards(
-    spark: SparkSession,
-    path: str,
-    columns: dict[str, str],
-    key: str,
-    runs: DataFrame,
-    rows: DataFrame,
-) -> None:
+def _staged(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """A written copy of ``rows``, computed once; what is checked is then what is stored."""
+    path = f"{root}/staged/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _publish(spark: SparkSession, root: str, runs: DataFrame, changes: dict[str, tuple[dict, DataFrame]]) -> None:
+    """Replace the rows of ``runs`` in several sharded tables at once."""
     shard = run_shard(F.col("run_id"))
-    fresh = rows.select(*columns).withColumn("run_shard", shard)
-    gone = _absent(runs, rows).select("run_id", shard.alias("run_shard"))
-    touched = runs.select(shard.alias("run_shard")).distinct()
-    kept = (
-        _scan(spark, path, columns | _SHARD, key)
-        .join(touched, "run_shard", "left_semi")
-        .join(runs.select("run_id"), "run_id", "left_anti")
-        .select(*columns, "run_shard")
-    )
-    result = kept.unionByName(fresh).unionByName(gone, allowMissingColumns=True)
-    _overwrite(result, path, "run_shard", ["run_id"])
+    touched = [r[0] for r in runs.select(shard.alias("s")).distinct().collect()]  # at most SHARDS numbers
+    ids = runs.select("run_id")
+    replaced = {}
+    for name, (columns, rows) in changes.items():
+        kept = published.read(spark, root, name, columns, touched).join(ids, "run_id", "left_anti")
+        fresh = rows.select(*columns, shard.alias("run_shard"))
+        replaced[name] = kept.select(*columns, "run_shard").unionByName(fresh)
+    published.publish(spark, root, replaced, touched, "run_id")
 
 
 def save_manifests(
     spark: SparkSession, root: str, documents: DataFrame, order: str | None = None
 ) -> None:
-    """Insert or replace runs with their stages; ``order`` ranks versions of one run."""
-    if order is None:
-        repeated = duplicate_keys(documents, ("run_id",)).limit(1).collect()
-        if repeated:
-            raise ValueError(f"A batch without order has run {repeated[0].run_id} {repeated[0].copies} times")
-    batch = latest_per_run(documents, order)
-    runs = batch.select("run_id")
-    stages = explode_stages(batch)
-    _rewrite_shards(spark, f"{root}/stages", STAGE_TABLE, "stage_index", runs, stages)
-    _rewrite_shards(spark, f"{root}/runs", RUN_TABLE, "manifest_json", runs, flatten(batch))
+    """Insert or replace runs with their stages; ``order`` ranks versions of one run.
+
+    Nothing is stored if any document is not a JSON object, belongs to another run, or has
+    ``stages`` that are no list. Runs and stages become visible together.
+    """
+    batch = _staged(spark, root, latest_per_run(documents, order).select("run_id", "manifest_json"))
+    repeated = duplicate_keys(batch, ("run_id",)).limit(1).collect()
+    if repeated:
+        raise ValueError(f"A batch without order has run {repeated[0].run_id} {repeated[0].copies} times")
+    json = F.col("json")
+    problem = F.coalesce(manifest_error(json, F.col("manifest_json"), F.col("run_id")), stages_error(json))
+    bad = with_json(batch, "manifest_json").select("run_id", problem.alias("problem")).where("problem is not null or run_id is null")
+    first = bad.orderBy("run_id").limit(1).collect()
+    if first:
+        raise ValueError(f"Cannot save run {first[0].run_id}: {first[0].problem or 'no run id'}")
+    changes = {"stages": (STAGE_TABLE, explode_stages(batch)), "runs": (RUN_TABLE, flatten(batch))}
+    _publish(spark, root, batch.select("run_id"), changes)
 
 
 def delete_runs(spark: SparkSession, root: str, runs: DataFrame) -> None:
     """Delete runs together with their stages and tracks."""
-    ids = runs.select("run_id")
+    ids = _staged(spark, root, runs.select("run_id").distinct())
     nothing = spark.createDataFrame([], ddl(TRACK_TABLE))
     replace_tracks(spark, root, ids, nothing, known_runs_only=False)
-    for name, columns, key in (
-        ("stages", STAGE_TABLE, "stage_index"),
-        ("runs", RUN_TABLE, "manifest_json"),
-    ):
-        empty = spark.createDataFrame([], ddl(columns))
-        _rewrite_shards(spark, f"{root}/{name}", columns, key, ids, empty)
+    tables = {"stages": STAGE_TABLE, "runs": RUN_TABLE}
+    _publish(spark, root, ids, {n: (c, spark.createDataFrame([], ddl(c))) for n, c in tables.items()})
 
 
 def replace_tracks(
@@ -177,26 +187,33 @@ def replace_tracks(
     runs: DataFrame,
     tracks: DataFrame,
     known_runs_only: bool = True,
-) -> None:
-    """Replace all tracks of ``runs``; nothing is written if any row or run is bad."""
-    problem = run_track_problems(tracks).limit(1).collect()
+) -> DataFrame:
+    """Replace all tracks of ``runs``; nothing is stored if any row or run is bad.
+
+    The tracks are computed once into a staged copy, which is checked, stored and returned. The
+    table of track counts follows after the tracks; a failure between the two is mended by repeating the import.
+    """
+    staged = _staged(spark, root, tracks.select(*TRACK_TABLE))
+    ids = _staged(spark, root, runs.select("run_id").distinct())
+    problem = run_track_problems(staged).limit(1).collect()
     if problem:
         raise ValueError(f"{problem[0].problem} (run {problem[0].run_id})")
-    outside = orphans(tracks, runs).groupBy("run_id").agg(F.count("*").alias("n"))
+    # One row per run before the join: a run with very many tracks does not weigh on it.
+    counts = staged.groupBy("run_id").agg(F.count("*").alias("track_count"))
     first = F.min(F.struct(F.coalesce("run_id", F.lit("null")).alias("run_id"))).alias("first")
-    lost = outside.agg(F.sum("n").alias("rows"), F.count("*").alias("runs"), first).first()
+    lost = orphans(counts, ids).agg(F.sum("track_count").alias("rows"), F.count("*").alias("runs"), first).first()
     if lost.rows:
         raise ValueError(f"{lost.rows} tracks of {lost.runs} runs that are not imported, the first {lost.first.run_id}")
     if known_runs_only:
-        unknown = orphans(runs.select("run_id"), read_runs(spark, root)).limit(1).collect()
+        unknown = orphans(ids, read_runs(spark, root)).limit(1).collect()
         if unknown:
             raise ValueError(f"Cannot import tracks for an unknown run: {unknown[0].run_id}")
-    # Only runs that have rows now need a marker; their ids are partition values.
-    stored = read_tracks(spark, root).groupBy("run_id").agg(F.count("*").alias("n"))
-    emptied = _absent(runs, tracks).join(stored.select("run_id"), "run_id", "left_semi")
-    rows = tracks.select(*TRACK_TABLE).join(runs.select("run_id"), "run_id", "left_semi")
-    result = rows.unionByName(emptied, allowMissingColumns=True)
+    # Only runs that have rows now need a marker.
+    emptied = _absent(ids, staged).join(read_track_counts(spark, root).select("run_id"), "run_id", "left_semi")
+    result = staged.unionByName(emptied, allowMissingColumns=True)
     _overwrite(result, f"{root}/evaluated_tracks", "run_id", ["track_id"])
+    _publish(spark, root, ids, {"track_counts": (COUNT_TABLE, counts)})
+    return staged
 
 
 def import_run_history(spark: SparkSession, root: str, folder: str) -> DataFrame:
@@ -212,8 +229,8 @@ def import_evaluated_tracks(
     spark: SparkSession, root: str, runs: DataFrame, tracks: DataFrame
 ) -> DataFrame:
     """Replace the tracks of known runs and report stored and graded counts per run."""
-    replace_tracks(spark, root, runs, tracks)
-    return import_summary(runs, tracks, read_tracks(spark, root))
+    staged = replace_tracks(spark, root, runs, tracks)
+    return import_summary(runs, staged, read_tracks(spark, root))
 
 
 def import_summary(runs: DataFrame, imported: DataFrame, stored: DataFrame) -> DataFrame:
