@@ -43,26 +43,35 @@ def finite_or_null(x: Column) -> Column:
     return F.when(is_finite(x), x)
 
 
+# Scaled values up to here are whole doubles; they are summed in two parts of so many bits.
+_WHOLE = 9.0e15
+_LOW = 1 << 24
+
+
 def _scaled_integer(x: Column, digits: int) -> Column:
-    limit = 10.0 ** (15 - digits)
-    return F.when(F.abs(x) < limit, F.rint(x * float(10**digits))).otherwise(0.0)
+    scaled = F.rint(x * float(10**digits))
+    return F.when(F.abs(scaled) <= _WHOLE, scaled).otherwise(0.0)
 
 
 def sum_parts(x: Column, digits: int) -> tuple[Column, Column]:
     """Two partial aggregates for an order-independent sum of decimal-like doubles.
 
-    Values with at most ``digits`` decimals land completely in the integer part,
-    whose sum is exact in any order. Whatever is left (more decimals, NaN,
-    infinities) is summed as double. Both parts combine map-side.
+    Values with at most ``digits`` decimals land completely in the whole part, a decimal
+    that holds 2^34 values of any size up to 9e15 / 10^digits and is exact in any order.
+    Whatever is left (more decimals, larger values, NaN, infinities) is summed as double;
+    ``operators.sums`` is exact for those too. Both parts combine map-side.
     """
     whole = _scaled_integer(x, digits)
     rest = x - whole / float(10**digits)
-    return F.sum(whole.cast("bigint")), F.sum(rest)
+    high = F.floor(whole / _LOW)
+    low = whole - high * _LOW
+    wide = F.sum(high.cast("bigint")).cast("decimal(38,0)") * _LOW + F.sum(low.cast("bigint"))
+    return wide.cast("decimal(38,0)"), F.sum(rest)
 
 
 def join_parts(whole: Column, rest: Column, digits: int) -> Column:
     """Put the two sums of :func:`sum_parts` back together."""
-    return whole / F.lit(float(10**digits)) + rest
+    return whole.cast("double") / F.lit(float(10**digits)) + rest
 
 
 def exact_sum(x: Column, digits: int) -> Column:

@@ -2,32 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackmill.operators.sums import PARTS, exact_parts, exact_totals
 
-def _parts(messages: DataFrame) -> list[Column]:
-    weight = F.coalesce("weight", F.lit(1.0)) if "weight" in messages.columns else F.lit(1.0)
-    return [
-        F.sum(F.col("value") * weight).alias("weighted_sum"),
-        F.sum(weight).alias("confidence"),
-        F.count("*").alias("sensor_count"),
-    ]
+_SUMS = ["weighted_sum", "confidence", "sensor_count"]
 
 
-def fuse_parts(messages: DataFrame, *keys: Column | str) -> DataFrame:
-    """Combinable sums of a fusion; valid for batch and for streaming input."""
-    return messages.groupBy(*keys).agg(*_parts(messages))
+def fuse_parts(messages: DataFrame, *keys: str) -> DataFrame:
+    """Combinable integers of a fusion, one row per group, sum and bin; for batch and for streaming input."""
+    weight = F.coalesce("weight", F.lit(1.0)) if "weight" in messages.columns else F.lit(1.0)
+    values = {"weighted_sum": F.col("value") * weight, "confidence": weight.cast("double")}
+    return exact_parts(messages, list(keys), values, "sensor_count")
 
 
 def fused(parts: DataFrame) -> DataFrame:
-    """Estimates from the sums. A total weight of zero is an error, not a null."""
-    other = [c for c in parts.columns if c not in ("weighted_sum", "confidence", "sensor_count")]
-    return parts.select(
-        *other,
-        (F.col("weighted_sum") / F.col("confidence")).alias("fused_value"),
+    """Estimates from the parts: the sums are exact and rounded once, so no order of messages or tasks shows.
+
+    A total weight of zero is an error, not a null, whatever the session's ANSI setting.
+    """
+    keys = [c for c in parts.columns if c not in PARTS]
+    sums = exact_totals(parts, keys, _SUMS)
+    zero = F.when(F.col("confidence") == 0, F.raise_error(F.lit("fusion group with a total weight of zero")).cast("double"))
+    return sums.select(
+        *keys,
+        F.coalesce(zero, F.try_divide("weighted_sum", "confidence")).alias("fused_value"),
         "confidence",
-        "sensor_count",
+        F.col("sensor_count").cast("bigint").alias("sensor_count"),
     )
 
 

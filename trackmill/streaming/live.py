@@ -214,4 +214,4 @@ def live_fusion(spark: SparkSession, messages: DataFrame) -> DataFrame:
     output = new_path(spark, "fusion")
     states = fuse_parts(messages, "fusion_id")
     fold(states, output, f"{output}-checkpoint")
-    return fused(newest_states(spark, output, states, ["fusion_id"]))
+    return fused(newest_states(spark, output, states, ["fusion_id", "name", "bin"]))
