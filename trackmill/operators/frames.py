@@ -30,8 +30,8 @@ def _marked(frames: DataFrame, detections: DataFrame) -> DataFrame:
     return frame.unionByName(box)
 
 
-def frame_activity(frames: DataFrame, detections: DataFrame) -> DataFrame:
-    """Boxes, confirmed rows and distinct confirmed tracks of every frame, zeros included."""
+def _activity(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """Activity of every frame and of every place of a box, with the number of frame rows there."""
     return (
         _marked(frames, detections)
         .groupBy("run_id", "frame_number")
@@ -39,10 +39,25 @@ def frame_activity(frames: DataFrame, detections: DataFrame) -> DataFrame:
             F.sum("boxes").alias("boxes"),
             F.count("track_id").alias("observation_rows"),
             F.count_distinct("track_id").alias("active_tracks"),
+            F.sum("frames").alias("frames"),
         )
     )
 
 
+def frame_activity(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """Boxes, confirmed rows and distinct confirmed tracks of every frame, zeros included.
+
+    A box whose frame is not among ``frames`` makes no frame; ``boxes_without_frame`` reports it.
+    """
+    return _activity(frames, detections).where("frames > 0").drop("frames")
+
+
+def boxes_without_frame(frames: DataFrame, detections: DataFrame) -> DataFrame:
+    """Places of boxes that no frame has: run_id, frame_number, boxes, observation_rows."""
+    lost = _activity(frames, detections).where("frames = 0")
+    return lost.select("run_id", "frame_number", "boxes", "observation_rows")
+
+
 def first_appearances(detections: DataFrame) -> DataFrame:
     """Number of tracks that appear for the first time in each frame."""
     firsts = (
@@ -58,11 +73,14 @@ def running_activity(
 ) -> DataFrame:
     """Frame activity with running frames, boxes, rows and unique tracks.
 
-    A running distinct count is the running number of first appearances.
+    A running distinct count is the running number of first appearances, in real frames
+    only: boxes without a frame, which should be few, are left out by their places.
     """
+    lost = boxes_without_frame(frames, detections).select("run_id", "frame_number")
+    placed = detections.join(lost, ["run_id", "frame_number"], "left_anti")
     activity = frame_activity(frames, detections)
     per_frame = activity.join(
-        first_appearances(detections), ["run_id", "frame_number"], "left"
+        first_appearances(placed), ["run_id", "frame_number"], "left"
     ).select(
         *activity.columns,
         F.lit(1).cast("bigint").alias("frames"),

@@ -163,6 +163,45 @@ def progress_samples(spark, sf_dir):
     return frames.progress_samples(_running(spark, sf_dir))
 
 
+_SOME_FRAMES = """frames AS (
+    SELECT * FROM all_frames WHERE frame_number % 10 <> 3)"""
+_SOME_PARTS = (O.FRAMES.replace("frames AS", "all_frames AS"), _SOME_FRAMES, O.DETECTIONS)
+
+
+def _some_frames(spark, sf_dir):
+    """The order recordings with every tenth frame missing, though boxes name it."""
+    return samples.frames(spark, sf_dir).where("frame_number % 10 <> 3")
+
+
+@query(
+    O.with_parts(
+        *_SOME_PARTS,
+        select="""SELECT run_id, frame_number, count(*) AS boxes, count(raw_track_id) AS observation_rows
+        FROM detections d WHERE NOT EXISTS (SELECT 1 FROM frames f
+            WHERE f.run_id = d.run_id AND f.frame_number = d.frame_number)
+        GROUP BY run_id, frame_number""",
+    )
+)
+def boxes_without_frame(spark, sf_dir):
+    return frames.boxes_without_frame(_some_frames(spark, sf_dir), samples.detections(spark, sf_dir))
+
+
+@query(
+    O.with_parts(
+        *_SOME_PARTS[:2],
+        O.DETECTIONS.replace("detections AS", "all_boxes AS"),
+        """detections AS (SELECT * FROM all_boxes d WHERE EXISTS (SELECT 1 FROM frames f
+            WHERE f.run_id = d.run_id AND f.frame_number = d.frame_number))""",
+        _ACTIVITY,
+        _RUNNING,
+        select="SELECT * FROM running",
+    )
+)
+def running_real_frames(spark, sf_dir):
+    """Running totals where boxes name frames that were never recorded."""
+    return frames.running_activity(_some_frames(spark, sf_dir), samples.detections(spark, sf_dir), 100)
+
+
 _RUN_TOTALS = O.with_parts(
     O.FRAMES,
     O.DETECTIONS,

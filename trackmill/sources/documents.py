@@ -20,6 +20,8 @@ from trackmill.sources.fingerprints import fingerprint_folder
 METRICS_NOT_OBJECT = "Metrics root value must be an object."
 METRICS_INVALID = "Invalid JSON"
 METRICS_MISSING = "Metrics file not found"
+# Fixed value: begins a record of a JSON text sequence.
+RECORD_SEPARATOR = "\x1e"
 
 
 def _names(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,15 +107,22 @@ def import_report(scan: DataFrame, run_count: DataFrame) -> DataFrame:
 
 
 def write_manifests(documents: DataFrame, path: str) -> None:
-    """Archive of documents: one line per run, any number of runs per file."""
-    documents.select(F.col("manifest_json").alias("value")).write.mode("overwrite").text(path)
+    """Archive of documents as JSON text sequences: any number of runs per file, a document per record.
+
+    A record begins with the separator character, which no JSON document holds, and ends with a line
+    feed, so documents keep their own line breaks and indentation byte by byte. Null documents are left out.
+    """
+    text = F.concat(F.lit(RECORD_SEPARATOR), "manifest_json")
+    rows = documents.where(F.col("manifest_json").isNotNull()).select(text.alias("value"))
+    rows.write.mode("overwrite").text(path)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of an archive with their run id."""
-    text = F.col("value")
+    """Documents of an archive with their run id; large files are split at records."""
+    records = spark.read.option("lineSep", RECORD_SEPARATOR).text(path).where("value <> ''")
+    text = F.regexp_replace("value", r"\n\z", "")
     run_id = F.from_json(text, "run_id string")["run_id"]
-    return spark.read.text(path).select(run_id.alias("run_id"), text.alias("manifest_json"))
+    return records.select(run_id.alias("run_id"), text.alias("manifest_json"))
 
 
 def metrics_availability(runs: DataFrame, texts: DataFrame) -> DataFrame:
