@@ -7,6 +7,7 @@ DataFrame``, ``SQL`` maps it to the equivalent statement.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,7 @@ from trackmill.operators import (
 )
 from trackmill.operators.skew import salted_join
 from trackmill.plans import oracle as O
+from trackmill.plans.queries import Store
 from trackmill.schemas import EVALUATED_COLUMNS
 from trackmill.session import new_path
 from trackmill.sources import csv_tables, documents, fingerprints, samples, tables
@@ -532,7 +534,7 @@ def run_final(spark, sf_dir):
 
 def _damaged(spark, sf_dir):
     """Documents, each kind of run damaged in its own way."""
-    status = F.get_json_object("manifest_json", "$.status")
+    status = F.from_json("manifest_json", "status string")["status"]
     text = F.col("manifest_json")
     number = F.substring_index("run_id", "-", -1).cast("bigint")
     damaged = (
@@ -575,7 +577,7 @@ def manifest_checks(spark, sf_dir):
     )
 )
 def stage_list_checks(spark, sf_dir):
-    status = F.get_json_object("manifest_json", "$.status")
+    status = F.from_json("manifest_json", "status string")["status"]
     text = F.col("manifest_json")
     damaged = F.when(
         status != "completed", F.replace(text, F.lit('"stages":['), F.lit('"stages":null,"old":['))
@@ -1014,6 +1016,149 @@ def metrics_attach(spark, sf_dir):
     )
 
 
+# ---- the user queries ------------------------------------------------------
+
+_RECORDINGS = f"""totals AS ({_RUN_TOTALS}),
+numbered_runs AS (SELECT *, CAST(substr(run_id, 5) AS BIGINT) // 500 AS number FROM totals),
+recordings AS (
+    SELECT run_id, number, CASE WHEN number % 7 = 3 THEN 'running' ELSE 'completed' END AS status,
+        CAST(DATE '2000-01-01' + CAST(number AS INTEGER) AS VARCHAR) AS day,
+        CASE WHEN number % 7 <> 3 THEN day || 'T12:00:00+00:00' END AS finished_at_utc,
+        CASE WHEN number % 5 = 0 THEN unique_tracks + 0.5e0 END AS average_processing_fps,
+        number + 0.25e0 AS processing_duration_seconds, frames_processed, frame_detections, tracked_observations, unique_tracks
+    FROM numbered_runs)"""
+
+
+def _change(name: str, better: str) -> str:
+    """SQL: one compared metric of the two recordings."""
+    verdict = "WHEN c > b THEN 'improved' ELSE 'regressed'" if better == "up" else "WHEN c < b THEN 'improved' ELSE 'regressed'" if better == "down" else "ELSE 'changed'"
+    return f"""SELECT 'comparison' AS query, '{name}' AS name, c - b AS number,
+        CASE WHEN c IS NULL OR b IS NULL THEN 'unavailable' WHEN c = b THEN 'unchanged' {verdict} END AS text
+        FROM (SELECT CAST(max(CASE WHEN run_id = 'run-0' THEN {name} END) AS DOUBLE) AS b,
+            CAST(max(CASE WHEN run_id = 'run-500' THEN {name} END) AS DOUBLE) AS c FROM recordings)"""
+
+
+_DIRECTIONS = {"average_processing_fps": "up", "processing_duration_seconds": "down"} | dict.fromkeys(
+    ("frames_processed", "frame_detections", "tracked_observations", "unique_tracks"), ""
+)
+
+
+def _store_sql(order: str) -> str:
+    changes = " UNION ALL ".join(_change(n, d) for n, d in _DIRECTIONS.items())
+    return f"""WITH {_RECORDINGS},
+changes AS ({changes} UNION ALL SELECT 'comparison', name, NULL, 'unavailable'
+    FROM (VALUES ('pipeline_duration_seconds'), ('initialization_overhead_seconds')) absent(name)),
+listed AS (SELECT * FROM recordings ORDER BY {order} LIMIT 500)
+SELECT 'runs' AS query, run_id AS name, CAST(frames_processed AS DOUBLE) AS number, status AS text FROM listed
+UNION ALL SELECT 'run_count', '', CAST(count(*) AS DOUBLE), '' FROM recordings
+UNION ALL SELECT 'latest_run', (SELECT run_id FROM recordings ORDER BY day DESC, run_id DESC LIMIT 1), NULL, ''
+UNION ALL SELECT 'run', run_id, NULL, status FROM recordings WHERE run_id = 'run-500'
+UNION ALL SELECT * FROM changes
+UNION ALL SELECT 'comparison_summary', text, CAST(count(*) AS DOUBLE), ''
+    FROM changes WHERE text IN ('improved', 'regressed', 'unchanged') GROUP BY text"""
+
+
+def _store_rows(store: Store) -> DataFrame:
+    """The run queries of a store in one table: query, name, number, text."""
+
+    def rows(frame, query, name, number, text):
+        number = F.lit(None) if number is None else F.col(number)
+        columns = [F.lit(query).alias("query"), F.col(name) if isinstance(name, str) else name, number.cast("double"), text]
+        return frame.select(*[c.alias(n) for c, n in zip(columns, ("query", "name", "number", "text"))])
+
+    status = F.from_json("manifest_json", "status string")["status"]
+    empty = F.lit("")
+    summary = store.comparison_summary("run-0", "run-500")
+    counts = F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("name"), F.col(f"{kind}_metric_count").alias("n")) for kind in ("improved", "regressed", "unchanged")
+    ]))
+    parts = [
+        rows(store.runs(500), "runs", "run_id", "frames_processed", F.col("status")),
+        rows(store.run_count(), "run_count", empty, "run_count", empty),
+        rows(store.latest_run(), "latest_run", "run_id", None, empty),
+        rows(store.run("run-500"), "run", "run_id", None, status),
+        rows(store.comparison("run-0", "run-500"), "comparison", "name", "absolute_change", F.col("assessment")),
+        rows(summary.select(counts).where("n > 0"), "comparison_summary", "name", "n", empty),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(_store_sql("finished_at_utc DESC NULLS LAST, run_id DESC"))
+def store_runs_of_tables(spark, sf_dir):
+    """Run queries over the tables, filled from a folder of documents."""
+    folder = new_path(spark, "store")
+    documents.write_files(samples.recording_manifests(spark, sf_dir), f"{folder}/documents")
+    tables.import_run_history(spark, f"{folder}/tables", f"{folder}/documents")
+    return _store_rows(Store(spark, f"{folder}/tables", f"{folder}/documents"))
+
+
+@query(_store_sql("run_id || '.json' DESC"))
+def store_runs_of_documents(spark, sf_dir):
+    """The same queries over the folder itself, where no table exists."""
+    folder = new_path(spark, "store")
+    documents.write_files(samples.recording_manifests(spark, sf_dir), f"{folder}/documents")
+    return _store_rows(Store(spark, f"{folder}/none", f"{folder}/documents"))
+
+
+_STORE_TRACKS = O.with_parts(
+    O.TRACKS,
+    _RECORDINGS,
+    """current_run AS (SELECT r.run_id FROM recordings r WHERE run_id IN (SELECT run_id FROM evaluated)
+        ORDER BY finished_at_utc DESC NULLS LAST, run_id DESC LIMIT 1)""",
+    """asked AS (SELECT 'current' AS query, e.* FROM evaluated e JOIN current_run USING (run_id)
+        UNION ALL SELECT 'run', e.* FROM evaluated e WHERE run_id = 'run-500')""",
+    """pages AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY average_confidence DESC, track_id) AS place
+        FROM asked WHERE average_confidence >= 0.4e0)""",
+    select="""SELECT query || '_tracks' AS query, CAST(track_id AS VARCHAR) AS name, average_confidence AS number, quality_level AS text
+        FROM pages WHERE place <= 50
+    UNION ALL SELECT query || '_track', dominant_label, start_center_x, quality_level FROM asked WHERE track_id = 7
+    UNION ALL SELECT query || '_statistics', 'tracks', CAST(count(*) AS DOUBLE), 'total' FROM asked GROUP BY query
+    UNION ALL SELECT query || '_statistics', dominant_label, CAST(count(*) AS DOUBLE), 'label' FROM asked GROUP BY query, dominant_label
+    UNION ALL SELECT query || '_statistics', level, CAST(count(*) FILTER (WHERE quality_level = level) AS DOUBLE), 'quality'
+        FROM asked, (VALUES ('stable'), ('tentative'), ('weak')) levels(level) GROUP BY query, level""",
+)
+
+
+@query(_STORE_TRACKS)
+def store_tracks(spark, sf_dir):
+    """Track queries of the current and of a named recording over the tables."""
+    root = new_path(spark, "store")
+    saved = samples.recording_manifests(spark, sf_dir)
+    tables.save_manifests(spark, root, saved.select("run_id", "manifest_json"))
+    graded = samples.recording_tracks(spark, sf_dir)
+    tables.import_evaluated_tracks(spark, root, saved.select("run_id"), graded)
+    store = Store(spark, root)
+
+    def rows(frame, query, name, number, text):
+        return frame.select(F.lit(query).alias("query"), F.col(name).cast("string").alias("name"), F.col(number).cast("double").alias("number"), F.col(text).alias("text"))
+
+    page, track, counts = ("track_id", "average_confidence", "quality_level"), ("dominant_label", "start_position.x", "quality_level"), ("name", "value", "section")
+    parts = [
+        rows(store.current_tracks(minimum_confidence=0.4, limit=50), "current_tracks", *page),
+        rows(store.run_tracks("run-500", minimum_confidence=0.4, limit=50), "run_tracks", *page),
+        rows(store.current_track(7), "current_track", *track),
+        rows(store.run_track("run-500", 7), "run_track", *track),
+        rows(store.current_statistics(), "current_statistics", *counts),
+        rows(store.run_statistics("run-500"), "run_statistics", *counts),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""WITH {_RECORDINGS}
+    SELECT run_id || '.json' AS file_name, CASE WHEN number % 4 IN (0, 3) THEN run_id END AS run_id,
+        CASE number % 4 WHEN 1 THEN 'Manifest root value must be an object' WHEN 2 THEN 'Invalid JSON' END AS error
+    FROM recordings"""
+)
+def import_rows(spark, sf_dir):
+    """Every file of a folder with what the import made of it; half of them are damaged."""
+    folder = new_path(spark, "import")
+    kind = F.col("number") % 4
+    text = F.when(kind == 1, "[1]").when(kind == 2, "{broken").otherwise(F.col("manifest_json"))
+    documents.write_files(samples.recording_manifests(spark, sf_dir).withColumn("manifest_json", text), folder)
+    return documents.import_rows(documents.scan_manifests(spark, folder))
+
+
 # ---- streams ---------------------------------------------------------------
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackmill.functions.checks import require_limit, require_run_id
+from trackmill.functions.checks import require_limit, require_run_id, valid_run_id
 from trackmill.functions.documents import (
     is_json,
     is_object,
@@ -14,7 +17,8 @@ from trackmill.functions.documents import (
     stages_error,
     with_json,
 )
-from trackmill.sources.fingerprints import fingerprint_folder
+from trackmill.sources.csv_tables import exists
+from trackmill.sources.fingerprints import fingerprint_folder, open_path
 
 # Error texts of a metrics document.
 METRICS_NOT_OBJECT = "Metrics root value must be an object."
@@ -24,7 +28,35 @@ METRICS_MISSING = "Metrics file not found"
 RECORD_SEPARATOR = "\x1e"
 
 
+def write_files(documents: DataFrame, folder: str) -> int:
+    """A folder of documents, one ``<run_id>.json`` each, written by the tasks; returns their number.
+
+    A repeated task writes the same files again. Ids that are not safe as names, or repeat, are an error.
+    """
+    rows = documents.select("run_id", "manifest_json")
+    safe = F.coalesce(valid_run_id(F.col("run_id")), F.lit(False))
+    bad = rows.groupBy("run_id").agg(F.count("*").alias("n")).where((F.col("n") > 1) | ~safe).limit(1).collect()
+    if bad:
+        raise ValueError(f"Run ids must be safe and unique file names: {bad[0].run_id}")
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made = False
+        for batch in batches:
+            for name, text in zip(batch["run_id"], batch["manifest_json"]):
+                system, path = open_path(f"{folder}/{name}.json")
+                if not made:
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    made = True
+                with system.open_output_stream(path) as stream:
+                    stream.write((text or "").encode())
+            yield batch[["run_id"]]
+
+    return rows.mapInPandas(write, "run_id string").count()
+
+
 def _names(spark: SparkSession, folder: str) -> DataFrame:
+    if not exists(spark, folder):
+        return spark.createDataFrame([], "file_name string")
     # The binary source lists files without reading content that is not selected.
     files = spark.read.format("binaryFile").load(folder, pathGlobFilter="*.json")
     return files.select(F.col("_metadata.file_name").alias("file_name"))
@@ -41,8 +73,11 @@ def scan_manifests(
     """Every manifest file with its text and, if it is bad, the reason.
 
     ``names`` restricts the scan to some files before they are opened. Ascending
-    path order is the import order.
+    path order is the import order. A missing folder holds no document.
     """
+    if not exists(spark, folder):
+        columns = "path string, file_name string, manifest_json string, error string, stages_error string, run_id string"
+        return spark.createDataFrame([], columns)
     files = spark.read.text(folder, wholetext=True, pathGlobFilter=glob)
     name = F.col("_metadata.file_name")
     if names is not None:
@@ -106,6 +141,11 @@ def import_report(scan: DataFrame, run_count: DataFrame) -> DataFrame:
     ).withColumn("database_run_count", run_count.scalar())
 
 
+def import_rows(scan: DataFrame) -> DataFrame:
+    """What an import did with every file: file_name, run_id (null for a bad one), error (null for a good one)."""
+    return importable(scan).select("file_name", F.when(F.col("error").isNull(), F.col("run_id")).alias("run_id"), "error")
+
+
 def write_manifests(documents: DataFrame, path: str) -> None:
     """Archive of documents as JSON text sequences: any number of runs per file, a document per record.
 

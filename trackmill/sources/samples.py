@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trackmill.functions.numbers import exact_sum, py_round
 from trackmill.operators.detections import frame_timestamp, observations
+from trackmill.operators.frames import run_totals
 from trackmill.operators.runs import measured_results, with_metrics, with_track_counts
 from trackmill.operators.tracks import evaluate, summarize
 
@@ -274,6 +275,31 @@ def measured_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recording_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document per order recording with its totals; some rates are NaN, text, a flag or absent.
+
+    Every seventh recording is still running. Recordings end a day apart in the order of their numbers.
+    """
+    totals = run_totals(frames(spark, sf_dir), detections(spark, sf_dir))
+    number = (F.substring("run_id", 5, 20).cast("bigint") / FRAMES_PER_RECORDING).cast("bigint")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), F.col("number").cast("int")).cast("string")
+    rate = (
+        F.when(F.col("number") % 5 == 1, "NaN").when(F.col("number") % 5 == 2, '"fast"').when(F.col("number") % 5 == 3, "true")
+        .when(F.col("number") % 5 == 4, "null").otherwise(F.concat(F.col("unique_tracks").cast("string"), F.lit(".5")))
+    )
+    running = F.col("number") % 7 == 3
+    text = F.format_string(
+        '{"run_id":"%s","schema_version":3,"status":"%s","started_at_utc":"%sT00:00:00+00:00","finished_at_utc":%s,'
+        '"performance":{"processing_metrics_available":true,"processing_metrics":{"duration_seconds":%d.25,"results":{'
+        '"average_processing_fps":%s,"frames_processed":%d,"frame_detections":%d,"tracked_observations":%d,"unique_tracks":%d}}},'
+        '"stages":[]}',
+        "run_id", F.when(running, "running").otherwise("completed"), day,
+        F.when(running, "null").otherwise(F.concat(F.lit('"'), day, F.lit('T12:00:00+00:00"'))),
+        "number", rate, "frames_processed", "frame_detections", "tracked_observations", "unique_tracks",
+    )
+    return totals.withColumn("number", number).select("run_id", "number", text.alias("manifest_json"))
+
+
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run documents as JSON text with ``run_id`` beside it."""
     lists = (
