@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, pieces, prefix_hash, settle, span_hash
+from .shared import BYTE_VALUES, pieces, prefix_hash, span_hash, stored
 
 #: A cut follows a byte at which so many bits of the gear hash are zero, SMALLEST bytes after the last cut at the earliest.
 BITS = 5
@@ -110,7 +110,7 @@ def repeated_spans(documents: DataFrame, least_run: int = LEAST_RUN, short_copie
     )
     kept = (F.col("kept.doc_id").alias("kept_id"), F.col("kept.start").alias("kept_at"))
     found = later.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "length", *kept))).alias("found"))
-    runs = settle(found.select("doc_id", _runs(F.col("found")).alias("runs")))
+    runs = stored(found.select("doc_id", _runs(F.col("found")).alias("runs")), "runs")
     ends = _grown(documents, runs).groupBy("doc_id", "left", "at").agg(F.min("grown").alias("grown"))
     sides = [F.collect_list(F.when(c, F.struct("at", "grown"))).alias(n) for n, c in (("lefts", F.col("left")), ("rights", ~F.col("left")))]
     ends = ends.groupBy(F.col("doc_id").alias("grown_id")).agg(*sides)
@@ -234,13 +234,13 @@ def _grown(documents: DataFrame, runs: DataFrame) -> DataFrame:
         )
         joined = data.join(places, data["doc_id"].eqNullSafe(places["place_id"]))
         bytes_at = joined.select("place_id", F.explode(cut).alias("p")).groupBy("place_id", F.col("p.at").alias("place_at"), F.col("p.left").alias("place_left"))
-        bytes_at = settle(bytes_at.agg(F.collect_set("p.bytes").alias("bytes")))
+        bytes_at = stored(bytes_at.agg(F.collect_set("p.bytes").alias("bytes")), "ends")
         own = bytes_at.withColumnRenamed("bytes", "own")
         near = edges.join(own, edges["doc_id"].eqNullSafe(own["place_id"]) & (edges["at"] == own["place_at"]) & (edges["left"] == own["place_left"]))
         near = near.select(*[edges[n] for n in names], "own").filter("exists(own, x -> octet_length(x) > 0)")
         kept = bytes_at.withColumnRenamed("bytes", "kept")
         near = near.join(kept, near["kept_id"].eqNullSafe(kept["place_id"]) & (near["kept_at"] == kept["place_at"]) & (near["left"] == kept["place_left"]))
-        found = settle(near.select(*names, "own", "kept").mapInArrow(compare, schema))
+        found = stored(near.select(*names, "own", "kept").mapInArrow(compare, schema), "grown")
         more = (F.col("grown") >= reach) & (F.col("room") > reach)
         part = found.filter(~more & (F.col("grown") > 0))
         done = part if done is None else done.unionByName(part)
