@@ -489,6 +489,19 @@ def run_point(spark, sf_dir):
     return found.select(*runs.RUN_LIST_COLUMNS)
 
 
+@query(
+    "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents"
+)
+def csv_line_breaks(spark, sf_dir):
+    """Texts with line breaks through CSV files that are read in splits."""
+    folder = new_path(spark, "breaks")
+    columns = {"doc_id": "string", "text": "string", "source": "string"}
+    rows = samples.table(spark, sf_dir, "documents").select(*columns)
+    rows.write.csv(folder, header=True, quote='"', escape='"', quoteAll=True, emptyValue="")
+    cells = csv_tables.scan_text(spark, folder, columns, "split")
+    return csv_tables.all_good(csv_tables.typed(cells, columns)).drop("seq")
+
+
 @query(
     O.with_parts(
         O.TRACKS,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trackmill.schemas import EVALUATED_COLUMNS, OBSERVATION_COLUMNS, SUMMARY_COLUMNS
+from trackmill.sources.split_csv import scan_records
 
 # What an integer or a float cell may look like.
 INTEGER_CELL = r"\A\s*[+-]?\d+(_\d+)*\s*\z"
@@ -25,14 +26,17 @@ def _typed(name: str, kind: str) -> Column:
 
 
 def scan_text(
-    spark: SparkSession, path: str, columns: dict[str, str], multiline: bool = True
+    spark: SparkSession, path: str, columns: dict[str, str], multiline: bool | str = True
 ) -> DataFrame:
     """All wanted cells as text, picked by header name, in file order (``seq``).
 
     ``run_id`` comes from ``run_id=...`` folders when there are any. ``multiline``
     keeps quoted line breaks intact but reads each file in one task; switch it
-    off for very large files without such breaks and they are split.
+    off for very large files without such breaks and they are split. ``"split"`` does both,
+    at the price of counting quotes in a first pass over the files.
     """
+    if multiline == "split":
+        return scan_records(spark, path, columns)
     inference = "spark.sql.sources.partitionColumnTypeInference.enabled"
     before = spark.conf.get(inference)
     spark.conf.set(inference, "false")
@@ -89,21 +93,21 @@ def _read(spark, path, columns, run_id, multiline) -> DataFrame:
 
 
 def read_observations(
-    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool | str = True
 ) -> DataFrame:
     """Observation CSV; ``seq`` keeps the file order for ties."""
     return _read(spark, path, OBSERVATION_COLUMNS, run_id, multiline)
 
 
 def read_summaries(
-    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool | str = True
 ) -> DataFrame:
     """Track-summary CSV."""
     return _read(spark, path, SUMMARY_COLUMNS, run_id, multiline).drop("seq")
 
 
 def read_evaluated(
-    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool = True
+    spark: SparkSession, path: str, run_id: str | None = None, multiline: bool | str = True
 ) -> DataFrame:
     """Evaluated-track CSV."""
     return _read(spark, path, EVALUATED_COLUMNS, run_id, multiline).drop("seq")
