@@ -251,29 +251,41 @@ def with_metrics(runs: DataFrame, stages: DataFrame, metrics: DataFrame) -> Data
     )
 
 
-def with_track_counts(runs: DataFrame, tracks: DataFrame) -> DataFrame:
+def with_track_counts(runs: DataFrame, tracks: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Quality counts and stored-track count of completed runs.
 
-    A run whose track rows break a rule keeps the reason and a stored count of zero.
+    A run whose track rows break a rule keeps the reason and a stored count of zero. ``sources``
+    (run_id, path, exists) says which runs' track files are there: a completed run without one
+    has no counts available, and ``quality_counts_error`` names the file. Without ``sources``
+    every completed run counts as having one.
     """
     done = F.col("status") == "completed"
     joined = runs.join(track_report(tracks), "run_id", "left")
-    stored = done & F.col("problem").isNull()
+    there, error = F.lit(True), []
+    if sources is not None:
+        files = sources.select("run_id", F.col("path").alias("_path"), F.col("exists").alias("_exists"))
+        joined = joined.join(files, "run_id", "left")
+        there = F.coalesce("_exists", F.lit(False))
+        lost = F.concat(F.lit("Quality file not found: "), F.coalesce("_path", F.lit("no path")))
+        error = [F.when(done & ~there, lost).alias("quality_counts_error")]
+    counted = done & there
+    stored = counted & F.col("problem").isNull()
     return joined.select(
         *runs.columns,
-        done.alias("quality_counts_available"),
+        counted.alias("quality_counts_available"),
+        *error,
         *[
-            F.when(done, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c)
+            F.when(counted, F.coalesce(F.col(c), F.lit(0))).otherwise(0).alias(c)
             for c in ("stable", "tentative", "weak", "total")
         ],
         stored.alias("database_tracks_available"),
         F.when(stored, F.coalesce("total", F.lit(0))).otherwise(0).alias("database_track_count"),
-        F.when(done, F.col("problem")).alias("database_tracks_error"),
+        F.when(counted, F.col("problem")).alias("database_tracks_error"),
     )
 
 
 def finalize(
-    runs: DataFrame, stages: DataFrame, metrics: DataFrame, tracks: DataFrame
+    runs: DataFrame, stages: DataFrame, metrics: DataFrame, tracks: DataFrame, sources: DataFrame | None = None
 ) -> DataFrame:
     """The closing record of every run."""
-    return with_track_counts(with_metrics(runs, stages, metrics), tracks)
+    return with_track_counts(with_metrics(runs, stages, metrics), tracks, sources)

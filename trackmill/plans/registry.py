@@ -489,6 +489,31 @@ def run_point(spark, sf_dir):
     return found.select(*runs.RUN_LIST_COLUMNS)
 
 
+@query(
+    O.with_parts(
+        O.TRACKS,
+        O.RUNS,
+        f"counts AS ({_COUNTS.format('evaluated')})",
+        """counted AS (SELECT c.run_id, status = 'completed' AND config_id % 3 <> 0 AS available,
+            CASE WHEN status = 'completed' AND config_id % 3 = 0 THEN 'Quality file not found: tracks/' || config_id || '.csv' END
+                AS quality_counts_error, coalesce(total, 0) AS n
+            FROM closed c LEFT JOIN counts q ON q.run_id = c.run_id)""",
+        select="""SELECT run_id, available AS quality_counts_available, quality_counts_error,
+        CASE WHEN available THEN n ELSE 0 END AS total, available AS database_tracks_available,
+        CASE WHEN available THEN n ELSE 0 END AS database_track_count FROM counted""",
+    )
+)
+def run_final_sources(spark, sf_dir):
+    """Closing records where the track files of every third configuration are missing."""
+    closed = samples.closed_runs(spark, sf_dir)
+    path = F.concat(F.lit("tracks/"), F.col("config_id").cast("string"), F.lit(".csv"))
+    sources = closed.select("run_id", path.alias("path"), (F.col("config_id") % 3 != 0).alias("exists"))
+    final = runs.with_track_counts(closed, samples.recording_tracks(spark, sf_dir), sources)
+    return final.select(
+        "run_id", "quality_counts_available", "quality_counts_error", "total", "database_tracks_available", "database_track_count"
+    )
+
+
 @query(
     "SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents"
 )

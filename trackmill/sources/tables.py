@@ -94,10 +94,14 @@ def _overwrite(rows: DataFrame, path: str, partition: str, sort: list[str]) -> N
 
 
 def latest_per_run(batch: DataFrame, order: str | None = None) -> DataFrame:
-    """Last version of every run in a batch; without ``order`` ids must not repeat, which ``save_manifests`` checks."""
+    """Last version of every run in a batch; without ``order`` ids must not repeat, which ``save_manifests`` checks.
+
+    Versions of equal rank are ordered by their other columns, so the same one is kept whatever the partitions.
+    """
     if order is None:
         return batch
-    last = W.partitionBy("run_id").orderBy(F.col(order).desc())
+    ties = [F.desc(c) for c in batch.columns if c not in ("run_id", order)]
+    last = W.partitionBy("run_id").orderBy(F.desc(order), *ties)
     return batch.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", order)
 
 
