@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BYTE_VALUES, pieces, prefix_hash, settle, span_hash
+from .shared import BYTE_VALUES, pieces, prefix_hash, span_hash, stored
 
 #: Length of the strings, and of the leading gram by which suffixes are chosen and dealt.
 LENGTH = 400
@@ -106,7 +106,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     found = _anchor_rows(rows.filter(F.octet_length("text") >= length), length, gram)
     where = F.struct("key", "place")
     grams = found.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n"))
-    grams = settle(grams.filter("a <> b").select("gram", "lead", (F.col("n") > HOT).alias("hot"), "n"))
+    grams = stored(grams.filter("a <> b").select("gram", "lead", (F.col("n") > HOT).alias("hot"), "n"), "grams")
     facts = grams.agg(F.sum(F.when(~F.col("hot"), F.col("n"))).alias("n"), F.sum(F.when(F.col("hot"), F.col("n"))).alias("hot")).first()
     buckets = max(1, -(-(facts["n"] or 0) * (length + (length - gram) // 2) // BUCKET_BYTES))
     shares = [i / buckets for i in range(1, buckets)]
@@ -114,7 +114,7 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     marks = found.join(grams.select("gram", "hot"), "gram").groupBy("key").agg(
         F.collect_set(F.struct("gram", "hot", "lead", "place", "low", "high")).alias("anchors")
     )
-    marks = settle(marks)
+    marks = stored(marks, "marks")
     joined = rows.join(marks, "key")
     cut = joined.select("key", "text", "anchors").mapInArrow(_cutter(length, splitters), "key binary, bucket int, gram long, lead long, start int, content binary")
     cold = cut.filter("bucket >= 0").groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
