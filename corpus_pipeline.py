@@ -21,6 +21,9 @@ from trackmill.session import new_path
 #: The model and the leaked passages are not expressible in SQL; the tests hold each stage against a plainer version.
 ORACLE_SQL = None
 
+#: Bytes of a repeated passage: fewer than fifty words of running text have. And of the grams that choose its suffixes.
+PASSAGE, PASSAGE_GRAM = 200, 64
+
 
 def _packed(docs: DataFrame) -> DataFrame:
     """The text, and the rest of a row as one column, so that no name of it meets one of an operator."""
@@ -45,8 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, their texts less every byte in a 400-byte string that occurs elsewhere. Untouched texts stay as they are, null too."""
-    cut = suffixes.cut_texts(_packed(docs), keep=("row",)).withColumnRenamed("text", "rest")
+    """All rows, their texts less every byte in a PASSAGE-byte string that occurs elsewhere. Untouched texts stay as they are, null too."""
+    cut = suffixes.cut_texts(_packed(docs), PASSAGE, PASSAGE_GRAM, keep=("row",)).withColumnRenamed("text", "rest")
     new = {"text": F.when(~F.col("row.`no text`"), F.col("rest"))}
     if "n_chars" in docs.columns:
         size = F.char_length("rest").cast(docs.schema["n_chars"].dataType)
