@@ -121,6 +121,22 @@ def test_repeated_strings(odd, empty, monkeypatch, hot):
     assert suffixes.documents_to_cuts(empty).count() == 0
 
 
+def test_words_made_to_collide_are_told_apart(spark):
+    """Thue and Morse's word and its complement have equal polynomial hashes modulo 2^64 in every base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    frame = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = similarity.documents_to_components(frame(one, two, two)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(0, 0), (1, 1), (2, 1)]
+    for text in (f"{one}\n{two}", f"{one}\n{one}"):
+        row = quality.measure(frame(text)).first()
+        assert (row.n_words, row.n_dup_lines) == (2, int(one in text.split("\n")[1]))
+    pair = (f"{one} 1", f"{two} 2")
+    same(suffixes.documents_to_cuts(frame(*pair)), [(i, *x) for i, x in enumerate(cut(pair, 400))])
+    short = "short lines of"
+    assert [r.n_removed for r in chunks.documents_to_repeats(frame(one[:64] + short, two[:64] + short)).collect()] == [0, 0]
+
+
 def statistics(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]

@@ -12,11 +12,15 @@ from ..session import new_path, shared_folder
 
 #: ASCII white space: blank and \t \n \v \f \r.
 BLANKS = (9, 10, 11, 12, 13, 32)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Hashes are pairs of polynomials modulo this prime, in these two bases.
+PRIME = (1 << 31) - 1
+BASES = (1_183_477_331, 1_774_099_057)
 #: A fixed random 64-bit value for each byte.
 BYTE_VALUES = np.random.default_rng(20_240_601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Values that are hashed at once, so that what lies between stays in the cache.
+STEP = 1 << 14
+_LOW, _HALF = np.uint64(PRIME), np.uint64(31)
+_powers: dict[int, np.ndarray] = {}
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,26 +60,72 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) ->
         first = end
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE^i and BASE^-i for i below n, modulo 2^64."""
-    for name, base in (("up", BASE), ("down", _INVERSE)):
-        if len(_powers[name]) < n:
-            steps = np.full(max(n, 1 << 16), base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+def powers(base: int, n: int) -> np.ndarray:
+    """base^i modulo PRIME for i below n."""
+    known = _powers.get(base, np.ones(1, np.uint32))
+    while len(known) < n:
+        step = np.uint64(pow(base, len(known), PRIME))
+        known = np.concatenate((known, _reduced(known * step).astype(np.uint32)))
+    _powers[base] = known
+    return known[:n]
+
+
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """x to a smaller value that is equal modulo PRIME: from 64 bits to 34, from 62 to 32, from 34 to PRIME + 8 at most."""
+    np.right_shift(x, _HALF, out=spare)
+    np.bitwise_and(x, _LOW, out=x)
+    np.add(x, spare, out=x)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, for any 64-bit x, which is overwritten."""
+    spare = np.empty_like(x)
+    _fold(x, spare)
+    _fold(x, spare)
+    np.subtract(x, _LOW, out=x, where=x >= _LOW)
+    return x
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """Prefix sums of values times BASE^i, starting with 0."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0], out=out[1:])
+    """Prefix sums of values times base^i modulo PRIME, starting with 0: a row for each base, which sees its half of the values' bits."""
+    out = np.zeros((len(BASES), len(values) + 1), np.uint32)
+    for row, base in enumerate(BASES):
+        power, carry = powers(base, len(values)), np.uint64(0)
+        for at in range(0, len(values), STEP):
+            x = values[at : at + STEP] >> np.uint64(32 * row)
+            spare = np.empty_like(x)
+            np.bitwise_and(x, _LOW, out=x)
+            np.multiply(x, power[at : at + STEP], out=x)
+            _fold(x, spare)
+            x[0] += carry
+            np.cumsum(x, out=x)
+            _fold(x, spare)
+            _fold(x, spare)
+            out[row, at + 1 : at + 1 + len(x)] = x
+            carry = x[-1]
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each span [start, end): equal content gives equal values, wherever it stands."""
-    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts] + (ends - starts).astype(np.uint64))
+    """Hash of each span [start, end): equal content gives equal values, wherever it stands.
+
+    A prime modulus, as modulo 2^64 some words collide in every base (Thue and Morse's and its complement).
+    """
+    out = np.empty(len(starts), np.uint64)
+    inverse = [powers(pow(base, -1, PRIME), prefix.shape[1]) for base in BASES]
+    for at in range(0, len(starts), STEP):
+        first, end = starts[at : at + STEP], ends[at : at + STEP]
+        found = []
+        for row, power in enumerate(inverse):
+            x = prefix[row][end].astype(np.uint64)
+            x += np.uint64(2 * PRIME)
+            x -= prefix[row][first]
+            spare = np.empty_like(x)
+            _fold(x, spare)
+            x *= power[first]
+            found.append(_reduced(x))
+        out[at : at + STEP] = mix(mix(found[0] | found[1] << _HALF) + (end - first).astype(np.uint64))
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
