@@ -8,7 +8,7 @@ import pytest
 from trackmill.llm import chunks, decontamination
 
 
-@pytest.mark.parametrize("n", [5, 6, 8, 10, 11, 12, 13, 15, 18])
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18])
 def test_benchmark_finds_all_substitution_patterns(spark, n):
     """All patterns of a whole item with 0.8 of its words, and those with one word less, which must not be found."""
     item = [f"w{i}" for i in range(n)]
@@ -30,6 +30,35 @@ def test_benchmark_finds_all_substitution_patterns(spark, n):
     assert found == set(range(len(rows))) | also
 
 
+def test_masks_lose_no_window():
+    """Every pattern of three substitutions in ten words, and of one in five to nine, leaves a mask's words whole."""
+    for n, most in [(10, 3)] + [(n, 1) for n in range(5, 10)] + [(n, 0) for n in range(1, 5)]:
+        masks = decontamination.MASKS[max(k for k in decontamination.MASKS if k <= n)]
+        for changed in combinations(range(n), most):
+            assert any(all(at + i < n and at + i not in changed for i in m) for m in masks for at in range(n)), (n, changed)
+
+
+def test_words_that_many_items_share_make_no_hits(spark):
+    items = [(i, f"a{i} of the b{i} c{i}") for i in range(300)]
+    rows = [(i, " ".join(f"of the d{i} e{j}" for j in range(20))) for i in range(200)] + [(500, "x a7 of the other c7 y")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = decontamination.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()
+    assert [(r.doc_id, r.item_id, r.doc_start, r.n_matched) for r in found] == [(500, 7, 1, 4)]
+
+
+def test_items_over_the_ends_of_documents(spark):
+    """A document begins or ends inside an item: the part that is there has 0.8 of the words."""
+    rows = []
+    for n in (5, 8, 10, 14, 20, 33):
+        words = [f"w{n}x{i}" for i in range(n)]
+        for cut in range(n // 5 + 2):
+            rows += [(n, n - cut, -cut, " ".join(words[cut:])), (n, n - cut, 0, " ".join(words[: n - cut]))]
+    frame = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in {r[0] for r in rows}], "item_id long, text string")
+    expected = {(i, n, m, at) for i, (n, m, at, _) in enumerate(rows) if 5 * m >= 4 * n or m >= decontamination.SCORE}
+    assert {(r.doc_id, r.item_id, r.n_matched, r.doc_start) for r in decontamination.overlaps(frame, benchmark).collect()} == expected
+
+
 @pytest.mark.parametrize("n", [21, 40, 60])
 def test_benchmark_finds_stretches_with_evenly_spread_substitutions(spark, n):
     item = [f"w{i}" for i in range(n)]

@@ -1,4 +1,4 @@
-"""Operator 8: benchmark passages in documents by seeds so short that no overlap can avoid them."""
+"""Operator 8: benchmark passages in documents by spaced seeds that no overlap can avoid."""
 
 from __future__ import annotations
 
@@ -7,15 +7,25 @@ from pyspark.sql import functions as F
 
 from .shared import settle
 
-#: Shorter items match nothing.
-SHORTEST = 5
+#: Masks: the places of a seed's words, all between them are ignored. Fixed by the item's length from the first number on.
+#: Ten words with three substitutions, in five blocks of two: two blocks hold none, whose distance is one of four.
+#: Six to nine words have one substitution at most, as have five; fewer have none.
+MASKS = {
+    10: ((0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (0, 1, 8, 9)),
+    6: ((0, 1, 2, 3), (0, 1, 3, 4)),
+    5: ((0, 1, 2, 3), (0, 1, 3, 4), (0, 2, 3, 4), (0, 1, 2, 4)),
+    4: ((0, 1, 2, 3),),
+    3: ((0, 1, 2),),
+    2: ((0, 1),),
+    1: ((0,),),
+}
 #: A match counts 1, a substitution counts this.
 SUBSTITUTION = -2
 #: Best stretch on a diagonal that makes an overlap, and the share of a whole item that does as well.
 SCORE = 15
 SHARE = 0.8
-#: Seeds of a benchmark up to so many text bytes are broadcast: a row of about 60 bytes a word.
-BROADCAST_BYTES = 1 << 20
+#: Seeds of a benchmark up to so many text bytes are broadcast: four rows of about 60 bytes a word.
+BROADCAST_BYTES = 1 << 19
 
 
 def tokens(text: Column) -> Column:
@@ -23,50 +33,51 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def seed_width(n: Column) -> Column:
-    """Words of the longest seed that every overlap of an item of ``n`` words holds whole.
+def mask_group(n: Column) -> Column:
+    """Key in MASKS of an item of ``n`` words.
 
-    s substitutions leave the m other words in s + 1 runs, the longest of m / (s + 1) words at
-    least. The worst cases are the most substitutions that SHARE of the item or, in the item's
-    length, a stretch of SCORE allows. From 5 words on this is 2, 3 or 4.
+    Ten words with four substitutions or more score below zero, so a stretch that reaches SCORE
+    has ten words with three at most. So has an item of ten words or more with SHARE of its words matched:
+    of its n // 10 parts of ten words, one has a share of the n // 5 substitutions.
     """
-    least = F.ceil(F.lit(SHARE) * n)
-    width = F.ceil(least / (n - least + 1))
-    s = F.floor((n - SCORE) / F.lit(1 - SUBSTITUTION))
-    stretch = F.when(n >= SCORE, F.ceil((SCORE - SUBSTITUTION * s) / (s + 1)))
-    return F.least(width, stretch).cast("int")
+    first, *rest = sorted(MASKS, reverse=True)
+    found = F.when(n >= first, first)
+    for least in rest:
+        found = found.when(n >= least, least)
+    return found
 
 
 def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and item that overlap: doc_id, item_id, score, n_matched, n_item_words, doc_start.
 
-    Every window of ``seed_width`` words of an item is hashed, and every window of such a width
-    of a document, and joined. A joined window fixes a diagonal, on which the whole item is
+    Seeds are hashes of the words under a mask (MASKS), at every place of the items, and of the
+    documents under all masks in use, and joined. A joined seed fixes a diagonal, on which the whole item is
     compared with the document word by word: the overlap stands if its best stretch (matches
-    less penalties for substitutions) reaches SCORE, or SHARE of the item's words match. No
-    such overlap is without a joined window. ``doc_start``: first word of the item's place,
-    negative if the document begins inside the item.
+    less penalties for substitutions) reaches SCORE, or SHARE of the item's words match; items below
+    five words stand whole. No such overlap is without a joined seed, also where the item hangs over an end of the document.
+    ``doc_start``: first word of the item's place, negative if the document begins inside the item.
 
     The seeds of a small benchmark, by its measured size, are broadcast; those of a large
-    one are joined by shuffle. Only joined windows leave the scan. Null and empty texts and
-    items below SHORTEST words match nothing. Rows with the same id count as one document
+    one are joined by shuffle. Only joined seeds leave the scan. Null and empty texts and
+    items match nothing. Rows with the same id count as one document
     or item with several texts; null ids are ids. Copies are each reported. Other
     columns are not read.
     """
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_words")).filter(F.size("item_words") >= SHORTEST)
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_words")).filter(F.size("item_words") > 0)
     items = items.distinct().withColumns(
         {"n_item_words": F.size("item_words"), "item_key": F.xxhash64("item_words", F.lit(7))}
     )
-    items = items.withColumn("width", seed_width(F.col("n_item_words")))
+    items = items.withColumn("masks", mask_group(F.col("n_item_words")))
     facts = benchmark.agg(F.sum(F.octet_length("text")).alias("size")).first()
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # three numbers at most
-    seeds = _windows(items.withColumnRenamed("item_words", "words"), widths, F.col("width")).select(
+    groups = [r[0] for r in items.select("masks").distinct().collect()]  # at most as many as MASKS has
+    own = {m: F.col("masks").isin([g for g in groups if m in MASKS[g]]) for g in groups for m in MASKS[g]}
+    seeds = _seeds(items.withColumnRenamed("item_words", "words"), own).select(
         "seed", "item_id", "item_key", F.col("at").alias("item_at"), "n_item_words"
     )
     seeds = seeds.distinct()
     seeds = F.broadcast(seeds) if (facts["size"] or 0) <= BROADCAST_BYTES else seeds
     read = documents.select("doc_id", tokens(F.col("text")).alias("words"))
-    hits = _windows(read, widths).join(seeds, "seed")
+    hits = _seeds(read, dict.fromkeys(own, F.lit(True))).join(seeds, "seed")
     diagonal = (F.col("at") - F.col("item_at")).alias("doc_start")
     hits = hits.select(
         "doc_id",
@@ -82,15 +93,14 @@ def overlaps(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return _verified(hits.join(named, same_item))
 
 
-def _windows(rows: DataFrame, widths: list[int], own: Column | None = None) -> DataFrame:
-    """Seeds of all windows of the widths. ``own``: only of a row's own width."""
+def _seeds(rows: DataFrame, masks: dict[tuple[int, ...], Column]) -> DataFrame:
+    """Seeds under each mask whose condition a row meets, at every place where the mask fits."""
     n, at = F.size("words"), F.col("at")
     placed = rows.withColumn("at", F.explode(F.when(n > 0, F.sequence(F.lit(0), n - 1))))
     found = []
-    for width in widths:
-        seed = F.xxhash64(F.lit(width), *[F.get("words", at + i) for i in range(width)])
-        fits = at <= n - width
-        found.append(F.when(fits if own is None else fits & (own == width), seed))
+    for mask, fits in sorted(masks.items()):
+        seed = F.xxhash64(F.lit("".join(str(int(i in mask)) for i in range(mask[-1] + 1))), *[F.get("words", at + i) for i in mask])
+        found.append(F.when(fits & (at + mask[-1] < n), seed))
     seed = F.explode(F.array(*found)) if found else F.lit(None).cast("long")
     return placed.withColumn("seed", seed).filter("seed is not null")
 
