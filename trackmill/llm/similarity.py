@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, settle, shingles, span_hash, words
+from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, shingles, span_hash, stored, words
 
 #: Counters of the sketch that orders shingles, and parts in which tasks hand them over.
 COUNTERS, PARTS = 1 << 19, 64
@@ -242,16 +242,17 @@ def classes(links: DataFrame) -> DataFrame:
     Every round gives each node the smallest label around it and then the label of its
     label, so long chains shorten as well.
     """
-    both = settle(links.select("x", "p").union(links.select("p", "x")).distinct())
-    labels = settle(both.groupBy("x").agg(F.least(F.min("p"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"))
+    both = stored(links.select("x", "p").union(links.select("p", "x")).distinct(), "jaccard")
+    labels = stored(both.groupBy("x").agg(F.least(F.min("p"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"), "jaccard")
     while True:
         near = both.join(labels, both["p"] == labels["node"]).groupBy("x").agg(F.min("label").alias("near"))
         stepped = labels.join(near, labels["node"] == near["x"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
         above = stepped.select(F.col("node").alias("parent"), F.col("new").alias("jump"))
-        moved = settle(
+        moved = stored(
             stepped.join(above, stepped["new"] == above["parent"], "left").select(
                 "node", F.coalesce("jump", "new").alias("label"), (F.coalesce("jump", "new") != F.col("old")).alias("changed")
-            )
+            ),
+            "jaccard",
         )
         labels = moved.select("node", "label")
         if moved.filter("changed").isEmpty():
@@ -284,25 +285,25 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     """
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select("doc_id", data.alias("text"), F.substring(F.unhex(F.sha2(data, 256)), 1, 16).alias("text_key"))
-    known = settle(_identify(rows, k))
+    known = stored(_identify(rows, k), "jaccard")
     with_words = rows.filter(F.octet_length("text") > 0)
     found = _regions(with_words, _sketch(with_words, k), k, num, den)
     member = F.struct("set_key", "n")
     shared = found.groupBy("region").agg(F.min(member).alias("a"), F.max(member).alias("b"), F.count(F.lit(1)).alias("m"))
     shared = shared.filter("a.set_key <> b.set_key").select("region", "m")
-    members = settle(found.join(shared, "region").distinct())
+    members = stored(found.join(shared, "region").distinct(), "jaccard")
     close = lambda a, b: den * F.least(a, b) >= num * F.greatest(a, b)
     # First round: small regions pair by pair, the others against their most central member.
     small, large = members.filter(F.col("m") <= SMALL), members.filter(F.col("m") > SMALL)
     other = small.select("region", F.col("set_key").alias("p"), F.col("n").alias("pn"))
     met = small.join(other, "region").filter(F.col("set_key") > F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
     score = large.groupBy("set_key").agg(F.sum("m").alias("score"))
-    open_rows = settle(large.join(score, "set_key").select("region", "set_key", "n", "score"))
+    open_rows = stored(large.join(score, "set_key").select("region", "set_key", "n", "score"), "jaccard")
     best = open_rows.groupBy("region").agg(F.max(F.struct("score", "set_key", "n")).alias("best"))
     pivots = best.select("region", F.col("best.set_key").alias("p"), F.col("best.n").alias("pn"))
     star = open_rows.join(pivots, "region").filter(F.col("set_key") != F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
-    possible = settle(_possible(met.union(star).select(F.col("set_key").alias("x"), "p").distinct(), known, num, den))
-    measured = settle(_measure(possible, with_words, known, k))
+    possible = stored(_possible(met.union(star).select(F.col("set_key").alias("x"), "p").distinct(), known, num, den), "jaccard")
+    measured = stored(_measure(possible, with_words, known, k), "jaccard")
     linked = lambda m: m.filter(den * F.col("both") >= num * F.col("either")).select("x", "p")
     labels = classes(linked(measured))
     # Second round: what is still in several classes, by the distances to the region's pivot and to the facets.
@@ -313,8 +314,8 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     mixed = mixed.filter("lo <> hi").select("region", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     facets = known.groupBy("set_key").agg(F.min("facets").alias("facets"))
     left = left.select("region", "set_key", "n", "d", "label").join(mixed, "region").join(facets, "set_key")
-    near = settle(_windows(settle(left), num, den))
-    rest = settle(_measure(settle(_possible(near, known, num, den)), with_words, known, k))
+    near = stored(_windows(stored(left, "jaccard"), num, den), "jaccard")
+    rest = stored(_measure(stored(_possible(near, known, num, den), "jaccard"), with_words, known, k), "jaccard")
     labels = classes(linked(measured).union(linked(rest)))
     class_key = F.when(F.col("n_shingles") > 0, F.coalesce("label", "set_key"))
     named = known.join(labels, known["set_key"] == labels["node"], "left").select("doc_id", "n_shingles", class_key.alias("class_key"))
