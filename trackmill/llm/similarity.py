@@ -19,9 +19,10 @@ BLOCK, STEP = 4_096, 256
 #: Regions up to this size are compared pair by pair at once.
 SMALL = 8
 #: Parts of the shingle universe that act as fixed pivots: a set's distances to them are its counts there.
-FACETS = 32
-#: Sets from this size on have finer facets as well, for a few pivots tell little about large sets.
-FINE, FINE_FROM = 256, 700
+#: COARSE sums of them are compared first.
+FACETS, COARSE = 256, 32
+#: Rounds of pivots before the rest of a region is compared in blocks.
+ROUNDS = 2
 #: Up to so many candidate pairs, the ids of their texts (about 60 bytes a row) are broadcast to the scan.
 BROADCAST_PAIRS = 40_000
 
@@ -53,26 +54,24 @@ def _identify(rows: DataFrame, k: int) -> DataFrame:
                 hashes, bounds = _shingle_sets(raw, offsets, k)
                 kept = [batch.column(c).slice(first, end - first) for c in ("doc_id", "text_key")]
                 n = np.diff(bounds)
-                coarse, fine = (_facets(hashes, n, m) for m in (FACETS, FINE))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *kept,
                         pa.array(_set_keys(hashes, bounds)),
                         pa.array(n.astype(np.int64)),
-                        pa.array([c.tobytes() for c in coarse], pa.binary()),
-                        pa.array([c.tobytes() if size >= FINE_FROM else b"" for c, size in zip(fine, n, strict=True)], pa.binary()),
+                        pa.array([c.tobytes() for c in _facets(hashes, n)], pa.binary()),
                     ],
-                    ["doc_id", "text_key", "set_key", "n_shingles", "facets", "fine"],
+                    ["doc_id", "text_key", "set_key", "n_shingles", "facets"],
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, set_key long, n_shingles long, facets binary, fine binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key binary, set_key long, n_shingles long, facets binary")
 
 
-def _facets(hashes: np.ndarray, n: np.ndarray, m: int) -> np.ndarray:
-    facet = (hashes >> np.uint64(40)) % np.uint64(m)
-    cell = np.repeat(np.arange(len(n)), n) * m + facet.astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=len(n) * m), 255).astype(np.uint8).reshape(-1, m)
+def _facets(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    facet = (hashes >> np.uint64(40)) % np.uint64(FACETS)
+    cell = np.repeat(np.arange(len(n)), n) * FACETS + facet.astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=len(n) * FACETS), 255).astype(np.uint8).reshape(-1, FACETS)
 
 
 def _sketch(rows: DataFrame, k: int) -> np.ndarray:
@@ -153,19 +152,21 @@ def _possible(pairs: DataFrame, known: DataFrame, num: int, den: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("sizes").to_numpy()
-            apart = _apart(batch.column("x_facets").to_pylist(), batch.column("p_facets").to_pylist())
-            x_fine, p_fine = batch.column("x_fine").to_pylist(), batch.column("p_fine").to_pylist()
-            both = np.flatnonzero([len(a) > 0 and len(b) > 0 for a, b in zip(x_fine, p_fine, strict=True)])
-            apart[both] = np.maximum(apart[both], _apart([x_fine[i] for i in both], [p_fine[i] for i in both]))
+            x, p = (_counts(batch.column(c).to_pylist()) for c in ("x_facets", "p_facets"))
+            apart = np.abs(x - p).sum(axis=1, dtype=np.int64)
             yield batch.select(["x", "p"]).filter(pa.array((den + num) * apart <= (den - num) * sizes))
 
-    facets = known.groupBy("set_key").agg(F.min(F.struct("n_shingles", "facets", "fine")).alias("f"))
-    one = facets.select(F.col("set_key").alias("x"), F.col("f.facets").alias("x_facets"), F.col("f.fine").alias("x_fine"), F.col("f.n_shingles").alias("x_n"))
-    two = facets.select(F.col("set_key").alias("p"), F.col("f.facets").alias("p_facets"), F.col("f.fine").alias("p_fine"), F.col("f.n_shingles").alias("p_n"))
-    wide = pairs.join(one, "x").join(two, "p").select("x", "p", "x_facets", "p_facets", "x_fine", "p_fine", (F.col("x_n") + F.col("p_n")).alias("sizes"))
+    facets = known.groupBy("set_key").agg(F.min(F.struct("n_shingles", "facets")).alias("f"))
+    one = facets.select(F.col("set_key").alias("x"), F.col("f.facets").alias("x_facets"), F.col("f.n_shingles").alias("x_n"))
+    two = facets.select(F.col("set_key").alias("p"), F.col("f.facets").alias("p_facets"), F.col("f.n_shingles").alias("p_n"))
+    wide = pairs.join(one, "x").join(two, "p").select("x", "p", "x_facets", "p_facets", (F.col("x_n") + F.col("p_n")).alias("sizes"))
     return wide.mapInArrow(run, "x long, p long")
 
 
+def _counts(facets: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(facets), np.uint8).reshape(-1, FACETS).astype(np.int16)
+
+
 def _windows(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs x, p of one region and different classes within all windows of the triangle inequality.
 
@@ -177,7 +178,8 @@ def _windows(members: DataFrame, num: int, den: int) -> DataFrame:
     def join(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         key, label, block = (group[c].to_numpy() for c in ("set_key", "label", "block"))
         n, d = group["n"].to_numpy(np.int64), group["d"].to_numpy(float)
-        counts = np.frombuffer(b"".join(group["facets"]), np.uint8).reshape(len(group), -1).astype(np.int16)
+        fine = _counts(group["facets"])
+        counts = fine.reshape(len(fine), -1, COARSE).sum(axis=1, dtype=np.int32)
         columns = np.ascontiguousarray(counts.T)
         ends = np.searchsorted(n, den * n // num, side="right")
         xs, ps = [], []
@@ -187,7 +189,7 @@ def _windows(members: DataFrame, num: int, den: int) -> DataFrame:
             if b.stop - at <= STEP // 4:
                 apart = np.abs(counts[a, None] - counts[None, b]).sum(axis=2)
             else:
-                apart = np.zeros((a.stop - at, b.stop - at), np.int16)
+                apart = np.zeros((a.stop - at, b.stop - at), np.int32)
                 for c in columns:
                     apart += np.abs(c[a, None] - c[None, b])
             i, j = np.nonzero((den + num) * apart.astype(np.int64) <= (den - num) * (n[a, None] + n[None, b]))
@@ -195,9 +197,15 @@ def _windows(members: DataFrame, num: int, den: int) -> DataFrame:
             inside = (j > i) & (j < ends[i]) & (label[i] != label[j]) & ~(np.abs(d[i] - d[j]) > limit)
             if block[0] != block.min() or block[0] != block.max():
                 inside &= block[i] != block[j]
-            xs.append(np.maximum(key[i[inside]], key[j[inside]]))
-            ps.append(np.minimum(key[i[inside]], key[j[inside]]))
-        return np.concatenate(xs), np.concatenate(ps)
+            i, j = i[inside], j[inside]
+            for part in range(0, len(i), BLOCK):
+                one, two = i[part : part + BLOCK], j[part : part + BLOCK]
+                apart = np.abs(fine[one] - fine[two]).sum(axis=1, dtype=np.int64)
+                near = (den + num) * apart <= (den - num) * (n[one] + n[two])
+                one, two = key[one[near]], key[two[near]]
+                xs.append(np.maximum(one, two))
+                ps.append(np.minimum(one, two))
+        return np.concatenate([np.zeros(0, np.int64), *xs]), np.concatenate([np.zeros(0, np.int64), *ps])
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["region", "lo", "hi", "n", "set_key"])
@@ -215,13 +223,6 @@ def _windows(members: DataFrame, num: int, den: int) -> DataFrame:
     return dealt.groupBy("task").applyInPandas(run, "x long, p long").distinct()
 
 
-def _apart(one: list[bytes], two: list[bytes]) -> np.ndarray:
-    if not one:
-        return np.zeros(0, np.int64)
-    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1).astype(np.int16) for x in (one, two))
-    return np.abs(a - b).sum(axis=1, dtype=np.int64)
-
-
 def _measure(pairs: DataFrame, rows: DataFrame, known: DataFrame, k: int) -> DataFrame:
     """The pairs x, p with the size of their intersection and union, from one text of each set."""
     needed = pairs.select(F.col("x").alias("set_key")).union(pairs.select(F.col("p"))).distinct()
@@ -273,9 +274,10 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     so many more regions each document is replicated. Linked documents thus meet in a region.
     The order uses a sketch of counts over all documents; any order is exact.
 
-    *Inside.* Equal sets are one member. Members of small regions are compared pair by pair. The pivot of a larger one is its most central member; all others are
-    measured against it, exactly. What links is one class with it and needs no comparison with each
-    other. Regions that still hold several classes are joined once more, in blocks: of members of
+    *Inside.* Equal sets are one member. Members of small regions are compared pair by pair. The pivot of a larger one is its most central member; each set is
+    measured against one pivot, the most central of those of its regions. What links is one class with it and needs no comparison with each
+    other. A region that still holds several classes gets a second pivot, out of another class than the first. Those that are mixed
+    even then are joined in blocks: of members of
     different classes only those meet whose sizes, distances to the pivot and distances to FACETS
     fixed pivots allow a link (triangle inequality). A group of near copies
     costs about one comparison a copy, not one a pair. The number of rounds does not grow with the data.
@@ -299,23 +301,36 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     met = small.join(other, "region").filter(F.col("set_key") > F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
     score = large.groupBy("set_key").agg(F.sum("m").alias("score"))
     open_rows = stored(large.join(score, "set_key").select("region", "set_key", "n", "score"), "jaccard")
-    best = open_rows.groupBy("region").agg(F.max(F.struct("score", "set_key", "n")).alias("best"))
-    pivots = best.select("region", F.col("best.set_key").alias("p"), F.col("best.n").alias("pn"))
-    star = open_rows.join(pivots, "region").filter(F.col("set_key") != F.col("p")).filter(close(F.col("n"), F.col("pn"))).select("set_key", "p")
-    possible = stored(_possible(met.union(star).select(F.col("set_key").alias("x"), "p").distinct(), known, num, den), "jaccard")
-    measured = stored(_measure(possible, with_words, known, k), "jaccard")
     linked = lambda m: m.filter(den * F.col("both") >= num * F.col("either")).select("x", "p")
-    labels = classes(linked(measured))
-    # Second round: what is still in several classes, by the distances to the region's pivot and to the facets.
-    far = measured.select(F.col("x").alias("set_key"), "p", (1 - F.col("both") / F.col("either")).alias("d"))
-    left = open_rows.join(pivots.drop("pn"), "region").filter(F.col("set_key") != F.col("p")).join(far, ["set_key", "p"], "left").drop("p")
-    left = left.join(labels, left["set_key"] == labels["node"], "left").withColumn("label", F.coalesce("label", "set_key"))
+    label = F.coalesce("label", "set_key")
+    # The pivots' rounds: each set meets one pivot, the best of those of its regions. Later ones only serve regions that still hold several classes.
+    best = open_rows.groupBy("region").agg(F.max(F.struct("score", "set_key", "n")).alias("best"))
+    pivots = stored(best.select("region", F.col("best.set_key").alias("p"), F.col("best.n").alias("pn"), F.col("best.score").alias("ps")), "jaccard")
+    star = open_rows.join(pivots, "region").filter(F.col("set_key") != F.col("p"))
+    measured = None
+    for turn in range(ROUNDS):
+        star = star.filter(close(F.col("n"), F.col("pn"))).groupBy("set_key").agg(F.max(F.struct("ps", "p")).alias("own")).select("set_key", "own.p")
+        pairs = star.select(F.col("set_key").alias("x"), "p")
+        pairs = pairs if turn else pairs.union(met).distinct()
+        step = stored(_measure(stored(_possible(pairs, known, num, den), "jaccard"), with_words, known, k), "jaccard")
+        measured = step if measured is None else measured.union(step)
+        labels = classes(linked(measured))
+        left = open_rows.join(pivots.select("region", "p"), "region").join(labels, F.col("set_key") == F.col("node"), "left").withColumn("label", label)
+        if turn + 1 < ROUNDS:
+            main = labels.select(F.col("node").alias("p"), F.col("label").alias("main"))
+            apart = stored(left.drop("node").join(main, "p", "left").filter(F.col("label") != F.coalesce("main", "p")), "jaccard")
+            second = apart.groupBy("region").agg(F.max(F.struct("score", "set_key", "n", "label")).alias("best"))
+            second = second.select("region", *[F.col(f"best.{c}").alias(a) for c, a in (("set_key", "p"), ("n", "pn"), ("score", "ps"), ("label", "other"))])
+            star = left.select("region", "set_key", "n", "label").join(second, "region").filter(F.col("label") != F.col("other"))
+    # What is still in several classes, by the distances to the region's pivot and to the facets.
+    far = measured.select(F.col("x").alias("set_key"), "p", (1 - F.col("both") / F.col("either")).alias("far")).distinct()
+    left = left.join(far, ["set_key", "p"], "left").withColumn("d", F.when(F.col("set_key") == F.col("p"), 0.0).otherwise(F.col("far")))
     mixed = left.groupBy("region").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m"))
     mixed = mixed.filter("lo <> hi").select("region", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     facets = known.groupBy("set_key").agg(F.min("facets").alias("facets"))
     left = left.select("region", "set_key", "n", "d", "label").join(mixed, "region").join(facets, "set_key")
     near = stored(_windows(stored(left, "jaccard"), num, den), "jaccard")
-    rest = stored(_measure(stored(_possible(near, known, num, den), "jaccard"), with_words, known, k), "jaccard")
+    rest = stored(_measure(near, with_words, known, k), "jaccard")
     labels = classes(linked(measured).union(linked(rest)))
     class_key = F.when(F.col("n_shingles") > 0, F.coalesce("label", "set_key"))
     named = known.join(labels, known["set_key"] == labels["node"], "left").select("doc_id", "n_shingles", class_key.alias("class_key"))
