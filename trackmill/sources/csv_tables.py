@@ -30,7 +30,7 @@ def scan_text(
 ) -> DataFrame:
     """All wanted cells as text, picked by header name, in file order (``seq``).
 
-    ``run_id`` comes from ``run_id=...`` folders when there are any. ``multiline``
+    ``run_id`` comes from a column or from ``run_id=...`` folders when there are any. ``multiline``
     keeps quoted line breaks intact but reads each file in one task; switch it
     off for very large files without such breaks and they are split. ``"split"`` does both,
     at the price of counting quotes in a first pass over the files.
@@ -113,37 +113,39 @@ def read_evaluated(
     return _read(spark, path, EVALUATED_COLUMNS, run_id, multiline).drop("seq")
 
 
-def _write(rows: DataFrame, path: str, columns: dict[str, str], order: str, ties: list[str]) -> int:
+def _write(rows: DataFrame, path: str, columns: dict[str, str], order: str, ties: list[str], folders: bool) -> int:
     counted = Observation()
     keys = ["run_id"] if "run_id" in rows.columns else []
-    # Range partitions cut through a very large run and keep each run's files in order;
+    # Range partitions cut through a very large run and keep each run's rows in order;
     # rows of one frame or track stay together, so their order survives in one file.
     placed = rows.repartitionByRange(*keys, order).sortWithinPartitions(*keys, order, *ties)
     counting = placed.select(*keys, *columns).observe(counted, F.count(F.lit(1)).alias("rows"))
     writer = counting.write
-    if keys:
+    if keys and folders:
         writer = writer.partitionBy(*keys)
     writer.csv(path, header=True, mode="overwrite", quote='"', escape='"', emptyValue="")
     return counted.get["rows"]
 
 
-def write_observations(rows: DataFrame, path: str) -> int:
-    """Observation CSV per run in frame order; returns the number of rows.
+def write_observations(rows: DataFrame, path: str, folders: bool = False) -> int:
+    """Observation CSV in run and frame order; returns the number of rows.
 
-    Boxes of a frame follow ``seq``, and equal ones the order the summary uses.
+    Boxes of a frame follow ``seq``, and equal ones the order the summary uses. Files hold many runs, with
+    ``run_id`` as their first column, so their number follows the bytes. ``folders`` writes a
+    ``run_id=...`` folder per run instead, for a few runs: each costs a folder and a file.
     """
     ties = [c for c in ("seq", "timestamp_seconds", "center_x", "center_y") if c in rows.columns]
-    return _write(rows, path, OBSERVATION_COLUMNS, "frame_number", ties)
+    return _write(rows, path, OBSERVATION_COLUMNS, "frame_number", ties, folders)
 
 
-def write_summaries(rows: DataFrame, path: str) -> int:
-    """Track-summary CSV per run in track order; returns the number of rows."""
-    return _write(rows, path, SUMMARY_COLUMNS, "track_id", [])
+def write_summaries(rows: DataFrame, path: str, folders: bool = False) -> int:
+    """Track-summary CSV in run and track order, with files as ``write_observations``; returns the number of rows."""
+    return _write(rows, path, SUMMARY_COLUMNS, "track_id", [], folders)
 
 
-def write_evaluated(rows: DataFrame, path: str) -> int:
-    """Evaluated-track CSV per run in track order; returns the number of rows."""
-    return _write(rows, path, EVALUATED_COLUMNS, "track_id", [])
+def write_evaluated(rows: DataFrame, path: str, folders: bool = False) -> int:
+    """Evaluated-track CSV in run and track order, with files as ``write_observations``; returns the number of rows."""
+    return _write(rows, path, EVALUATED_COLUMNS, "track_id", [], folders)
 
 
 def is_missing(error: AnalysisException) -> bool:

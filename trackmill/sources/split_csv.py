@@ -94,7 +94,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_records(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Wanted cells as text, by header name, with run_id (in ``run_id=...`` folders) and seq.
+    """Wanted cells as text, by header name, with run_id (a column or ``run_id=...`` folders) and seq.
 
     Every file must have the header of the first one.
     """
@@ -114,5 +114,7 @@ def scan_records(spark: SparkSession, path: str, columns: dict[str, str]) -> Dat
     wrong = F.raise_error(F.concat(F.lit("CSV header differs: "), "file")).cast("boolean")
     kept = F.when(F.col("seq") > 0, True).when(same, False).otherwise(wrong)
     picked = [F.col(f"c._{names.index(c)}").alias(c) for c in columns]
-    run = ["run_id"] if "run_id" not in names and "run_id" in head.columns else []
+    run = ["run_id"] if "run_id" in head.columns else []
+    if "run_id" in names:
+        run = [F.col(f"c._{names.index('run_id')}").alias("run_id")] if "run_id" not in columns else []
     return rows.where(kept).select(*run, *picked, "seq")
