@@ -99,3 +99,17 @@ def test_newest_run_with_tracks_reads_no_track(spark, tmp_path):
     tables.replace_tracks(spark, root, ids(spark, "run-b"), frame(spark, [evaluated(1)], EVALUATED_COLUMNS).where("false"))
     newest = newest_run_with_tracks(tables.read_runs(spark, root), tables.read_track_counts(spark, root))
     assert newest.first().run_id == "run-a"
+
+
+def test_tracks_of_many_runs_share_files_and_only_named_runs_are_replaced(spark, tmp_path):
+    root = str(tmp_path)
+    names = [f"run-{n}" for n in range(40)]
+    tables.save_manifests(spark, root, documents(spark, *[manifest(n) for n in names]))
+    tracks = frame(spark, [evaluated(1, run=n) for n in names], EVALUATED_COLUMNS)
+    tables.replace_tracks(spark, root, ids(spark, *names), tracks)
+    assert len([p for p in (tmp_path / "evaluated_tracks").rglob("*.parquet")]) < len(names)
+    tables.replace_tracks(spark, root, ids(spark, "run-3", "run-4"), frame(spark, [evaluated(8, run="run-3")], EVALUATED_COLUMNS))
+    stored = {r.run_id: r.track_id for r in tables.read_tracks(spark, root).collect()}
+    assert stored == {n: 8 if n == "run-3" else 1 for n in names if n != "run-4"}
+    assert [r.track_id for r in tables.read_tracks(spark, root, "run-3").collect()] == [8]
+    assert tables.read_tracks(spark, root, "run-4").count() == 0

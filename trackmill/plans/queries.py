@@ -58,20 +58,17 @@ class Store:
     def _snapshot(self) -> tuple[DataFrame, str]:
         """Current tracks (with their ``run_id``, null for the CSV) and their source."""
         if self.run_source == "table":
-            tracks = tables.read_tracks(self.spark, self.root)
             runs = tables.read_runs(self.spark, self.root)
             newest = newest_run_with_tracks(runs, tables.read_track_counts(self.spark, self.root)).take(1)
             if newest:
-                # A literal id prunes the track table to one partition.
-                return tracks.where(F.col("run_id") == newest[0].run_id), "table"
+                return tables.read_tracks(self.spark, self.root, newest[0].run_id), "table"
         if self.tracks_csv is None:
             raise FileNotFoundError("no stored tracks and no evaluated-track CSV")
         rows = read_evaluated(self.spark, self.tracks_csv)
         return rows.withColumn("run_id", F.lit(None).cast("string")), "csv"
 
     def _run_tracks(self, run_id: str) -> DataFrame:
-        tracks = tables.read_tracks(self.spark, self.root)
-        return tracks.where(F.col("run_id") == require_run_id(run_id))
+        return tables.read_tracks(self.spark, self.root, require_run_id(run_id))
 
     def _page(self, tracks, quality, minimum_confidence, limit) -> DataFrame:
         require_limit(limit, MAXIMUM_TRACKS)

@@ -2,18 +2,15 @@
 
 Runs, stages and the number of tracks of each run are small per run and lie in shards of the
 run id; they change together by publishing a new list of shard versions, so a failure between
-their writes leaves all of them as they were. Tracks are partitioned by run and replaced
-by dynamic partition overwrite of a staged copy, which is what was checked: new files are moved into place
-when the job commits, so a lost executor never leaves a half-written partition. A run whose
-tracks are replaced by nothing leaves a marker row with a null key, because an overwrite without
-rows would keep the old partition; scans drop markers.
+their writes leaves all of them as they were. Every import writes its tracks once, as a version of its
+own in files that hold many runs, sorted by run; the version is what was checked, and it becomes current when the
+table of track counts names it for its runs. A failure before that leaves the former tracks.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,13 +21,12 @@ from trackmill.operators.tracks import quality_counts
 from trackmill.operators.validation import duplicate_keys, orphans, run_track_problems
 from trackmill.schemas import EVALUATED_COLUMNS, RUN_COLUMNS, STAGE_FIELDS, ddl
 from trackmill.sources import published
-from trackmill.sources.csv_tables import is_missing
 from trackmill.sources.documents import import_report, importable, scan_manifests
 
 RUN_TABLE = RUN_COLUMNS | {"manifest_json": "string"}
 STAGE_TABLE = {"run_id": "string", "stage_index": "bigint"} | STAGE_FIELDS
 TRACK_TABLE = {"run_id": "string"} | EVALUATED_COLUMNS
-COUNT_TABLE = {"run_id": "string", "track_count": "bigint"}
+COUNT_TABLE = {"run_id": "string", "track_count": "bigint", "track_version": "string"}
 SHARDS = 64
 
 
@@ -39,17 +35,6 @@ def run_shard(run_id: Column) -> Column:
     return F.pmod(F.xxhash64(run_id), F.lit(SHARDS))
 
 
-def _scan(spark: SparkSession, path: str, columns: dict[str, str], key: str) -> DataFrame:
-    """Table without markers; an absent table is an empty one."""
-    try:
-        table = spark.read.schema(ddl(columns)).parquet(path)
-    except AnalysisException as error:
-        if is_missing(error):
-            return spark.createDataFrame([], ddl(columns))
-        raise
-    return table.where(F.col(key).isNotNull())
-
-
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Run table with its partition column, for lookups that name the shard."""
     return published.read(spark, root, "runs", RUN_TABLE)
@@ -65,14 +50,31 @@ def read_stages(spark: SparkSession, root: str) -> DataFrame:
     return published.read(spark, root, "stages", STAGE_TABLE).drop("run_shard")
 
 
-def read_track_counts(spark: SparkSession, root: str) -> DataFrame:
-    """Runs that have stored tracks, with their number; reads no track."""
-    return published.read(spark, root, "track_counts", COUNT_TABLE).drop("run_shard").where("track_count > 0")
+def _current_counts(spark: SparkSession, root: str) -> DataFrame:
+    return published.read(spark, root, "track_counts", COUNT_TABLE).where("track_count > 0")
 
 
-def read_tracks(spark: SparkSession, root: str) -> DataFrame:
-    """Evaluated-track table; a filter on ``run_id`` prunes to that run's files."""
-    return _scan(spark, f"{root}/evaluated_tracks", TRACK_TABLE, "track_id")
+def read_track_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Runs that have stored tracks, with their number; reads no track."""
+    return _current_counts(spark, root).select("run_id", "track_count")
+
+
+def read_tracks(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """Evaluated-track table; with ``run_id`` one run's tracks, from the version that has them."""
+    counts = _current_counts(spark, root)
+    if run_id is not None:
+        counts = counts.where((F.col("run_shard") == run_shard(F.lit(run_id))) & (F.col("run_id") == run_id))
+    current = counts.select("run_id", "track_version")
+    versions = [r[0] for r in current.select("track_version").distinct().collect()]  # imports that still have a run
+    schema = ddl(TRACK_TABLE | {"track_version": "string"})
+    if not versions:
+        return spark.createDataFrame([], schema).drop("track_version")
+    base = f"{root}/evaluated_tracks"
+    paths = [f"{base}/track_version={v}" for v in sorted(versions)]
+    stored = spark.read.schema(schema).option("basePath", base).parquet(*paths)
+    if run_id is not None:
+        return stored.where(F.col("run_id") == run_id).drop("track_version")
+    return stored.join(current, ["run_id", "track_version"], "left_semi").drop("track_version")
 
 
 def has_runs(spark: SparkSession, root: str) -> bool:
@@ -80,19 +82,6 @@ def has_runs(spark: SparkSession, root: str) -> bool:
     return published.current(spark, root)[0] > 0
 
 
-def _overwrite(rows: DataFrame, path: str, partition: str, sort: list[str]) -> None:
-    # REBALANCE gathers each partition's rows and lets adaptive execution split
-    # the ones that are too large for a task.
-    (
-        rows.hint("rebalance", partition)
-        .sortWithinPartitions(partition, *sort)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition)
-        .parquet(path)
-    )
-
-
 def latest_per_run(batch: DataFrame, order: str | None = None) -> DataFrame:
     """Last version of every run in a batch; without ``order`` ids must not repeat, which ``save_manifests`` checks.
 
@@ -128,12 +117,6 @@ def without_runs(children: DataFrame, removed: DataFrame) -> DataFrame:
     return children.join(removed.select("run_id"), "run_id", "left_anti")
 
 
-def _absent(runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Runs without rows. Rows shrink to one per run before the join."""
-    present = rows.groupBy("run_id").agg(F.count("*").alias("n")).select("run_id")
-    return runs.select("run_id").join(present, "run_id", "left_anti")
-
-
 def _staged(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
     """A written copy of ``rows``, computed once; what is checked is then what is stored."""
     path = f"{root}/staged/{uuid.uuid4().hex}"
@@ -194,10 +177,15 @@ def replace_tracks(
 ) -> DataFrame:
     """Replace all tracks of ``runs``; nothing is stored if any row or run is bad.
 
-    The tracks are computed once into a staged copy, which is checked, stored and returned. The
-    table of track counts follows after the tracks; a failure between the two is mended by repeating the import.
+    The tracks are computed once into a version, which is checked, made current with the table of track
+    counts, and returned. A former version keeps the runs that are not replaced.
     """
-    staged = _staged(spark, root, tracks.select(*TRACK_TABLE))
+    version = uuid.uuid4().hex
+    path = f"{root}/evaluated_tracks/track_version={version}"
+    rows = tracks.select(*TRACK_TABLE)
+    # REBALANCE gathers each run's rows and lets adaptive execution merge small partitions and split large ones.
+    rows.hint("rebalance", "run_id").sortWithinPartitions("run_id", "track_id").write.parquet(path)
+    staged = spark.read.schema(rows.schema).parquet(path)
     ids = _staged(spark, root, runs.select("run_id").distinct())
     problem = run_track_problems(staged).limit(1).collect()
     if problem:
@@ -212,11 +200,7 @@ def replace_tracks(
         unknown = orphans(ids, read_runs(spark, root)).limit(1).collect()
         if unknown:
             raise ValueError(f"Cannot import tracks for an unknown run: {unknown[0].run_id}")
-    # Only runs that have rows now need a marker.
-    emptied = _absent(ids, staged).join(read_track_counts(spark, root).select("run_id"), "run_id", "left_semi")
-    result = staged.unionByName(emptied, allowMissingColumns=True)
-    _overwrite(result, f"{root}/evaluated_tracks", "run_id", ["track_id"])
-    _publish(spark, root, ids, {"track_counts": (COUNT_TABLE, counts)})
+    _publish(spark, root, ids, {"track_counts": (COUNT_TABLE, counts.withColumn("track_version", F.lit(version)))})
     return staged
 
 
