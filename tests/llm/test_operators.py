@@ -317,3 +317,15 @@ def test_pipeline(spark, documents):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     kept = {r.doc_id for r in docs.collect()}
     assert {r.doc_id for r in corpus_pipeline.run(spark, FOLDER).collect()} == kept
+
+
+def test_anchors_are_found_once(odd, monkeypatch):
+    plans, stored = [], suffixes.stored
+
+    def watched(rows, purpose):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return stored(rows, purpose)
+
+    monkeypatch.setattr(suffixes, "stored", watched)
+    suffixes.repeated_spans(odd, 40, 8)
+    assert sum("MapInArrow" in p for p in plans) == 1

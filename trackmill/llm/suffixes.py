@@ -103,7 +103,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     rows = documents.select(*keep, data.alias("text"), F.substring(F.unhex(F.sha2(data, 256)), 1, 16).alias("key"))
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     whole = copies.filter("copies > 1").select("key", F.lit(True).alias("whole"))
-    found = _anchor_rows(rows.filter(F.octet_length("text") >= length), length, gram)
+    # Two steps read the anchors; hashing all bytes for each would cost more than keeping their rows.
+    found = stored(_anchor_rows(rows.filter(F.octet_length("text") >= length), length, gram), "anchors")
     where = F.struct("key", "place")
     grams = found.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n"))
     grams = stored(grams.filter("a <> b").select("gram", "lead", (F.col("n") > HOT).alias("hot"), "n"), "grams")
@@ -116,10 +117,15 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     )
     marks = stored(marks, "marks")
     joined = rows.join(marks, "key")
-    cut = joined.select("key", "text", "anchors").mapInArrow(_cutter(length, splitters), "key binary, bucket int, gram long, lead long, start int, content binary")
-    cold = cut.filter("bucket >= 0").groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
+
+    def cut(hot: bool) -> DataFrame:
+        """Suffixes of the hot grams or of the others; only texts that have such leave the join."""
+        own = joined.select("key", "text", F.filter("anchors", lambda a: a["hot"] == F.lit(hot)).alias("anchors")).filter("size(anchors) > 0")
+        return own.mapInArrow(_cutter(length, splitters), "key binary, bucket int, gram long, lead long, start int, content binary")
+
+    cold = cut(False).groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
     parts = max(1, -(-(facts["hot"] or 0) * ((length - gram) // 2) // PART_WINDOWS))
-    digests = cut.filter("bucket < 0").mapInArrow(_digester(length, parts, SLICE), "part int, packed binary, key binary, start int, end int")
+    digests = cut(True).mapInArrow(_digester(length, parts, SLICE), "part int, packed binary, key binary, start int, end int")
     near = digests.filter("part < 0").select("key", "start", "end")
     met = digests.filter("part >= 0").select("part", "packed").groupBy("part").applyInPandas(_matcher(parts), "owner int, packed binary")
     far = met.groupBy("owner").applyInPandas(_gatherer(length), "key binary, start int, end int")
