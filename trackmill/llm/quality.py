@@ -269,16 +269,18 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Tree
     return fit(x, data["quality"].to_numpy(float), list(FEATURES.values()))
 
 
-def measure(rows: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``carry`` and the statistics of each text."""
-    schema = T.StructType([*(rows.schema[c] for c in carry), *(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE))])
+def measure(rows: DataFrame, carry: tuple[str, ...] = ("doc_id",), trees: Trees | None = None) -> DataFrame:
+    """``carry`` and the statistics of each text, and with ``trees`` its score."""
+    added = [*(T.StructField(c, T.LongType()) for c in (*COUNTS, *MORE)), *([T.StructField("score", T.DoubleType())] if trees else [])]
+    schema = T.StructType([*(rows.schema[c] for c in carry), *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, raw, offsets in pieces(batch):
                 s = statistics(raw, offsets)
                 kept = [batch.column(c).slice(first, end - first) for c in carry]
-                yield pa.RecordBatch.from_arrays(kept + [pa.array(s[c]) for c in (*COUNTS, *MORE)], [*carry, *COUNTS, *MORE])
+                score = [pa.array(trees.score(features(s)))] if trees else []
+                yield pa.RecordBatch.from_arrays(kept + [pa.array(s[c]) for c in (*COUNTS, *MORE)] + score, schema.names)
 
     return rows.select(*(c for c in carry if c != "text"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -289,16 +291,10 @@ def grade(documents: DataFrame, trees: Trees, threshold: float = 0.35, carry: tu
     Null and empty texts have zero words and fail the base rule. Columns outside of ``carry`` are not
     read, and none of it may have the name of a result. Repeated rows are graded each. An empty table gives no rows.
     """
-    measured = measure(documents, carry)
+    # One step measures and scores: a second one behind it would give every task another Python worker and carry the texts through it.
+    scored = measure(documents, carry, trees)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    schema = T.StructType([*measured.schema.fields, T.StructField("score", T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in (*COUNTS, *MORE)}
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(trees.score(features(s)))], [*batch.schema.names, "score"])
-
-    scored = measured.mapInArrow(run, schema).withColumn("base_failed", failed)
+    scored = scored.withColumn("base_failed", failed)
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 

@@ -118,14 +118,20 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     marks = stored(marks, "marks")
     joined = rows.join(marks, "key")
 
-    def cut(hot: bool) -> DataFrame:
-        """Suffixes of the hot grams or of the others; only texts that have such leave the join."""
-        own = joined.select("key", "text", F.filter("anchors", lambda a: a["hot"] == F.lit(hot)).alias("anchors")).filter("size(anchors) > 0")
-        return own.mapInArrow(_cutter(length, splitters), "key binary, bucket int, gram long, lead long, start int, content binary")
-
-    cold = cut(False).groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
+    def anchored(hot: bool) -> DataFrame:
+        """Texts that have anchors with hot grams, or others, and these anchors; only such texts leave the join."""
+        own = F.filter("anchors", lambda a: a["hot"] == F.lit(hot)).alias("anchors")
+        return joined.select("key", "text", own).filter("size(anchors) > 0")
+
+    cutter = _cutter(length, splitters)
+    cold = anchored(False).mapInArrow(cutter, "key binary, bucket int, gram long, lead long, start int, content binary")
+    cold = cold.groupBy("bucket").applyInPandas(_resolver(length), "key binary, start int, end int")
     parts = max(1, -(-(facts["hot"] or 0) * ((length - gram) // 2) // PART_WINDOWS))
-    digests = cut(True).mapInArrow(_digester(length, parts, SLICE), "part int, packed binary, key binary, start int, end int")
+    digester = _digester(length, parts, SLICE)
+    # One step cuts and digests: a second one behind it would give every task another Python worker and carry the suffixes through it.
+    digests = anchored(True).mapInArrow(
+        lambda batches: digester(_gathered(cutter(batches), SLICE)), "part int, packed binary, key binary, start int, end int"
+    )
     near = digests.filter("part < 0").select("key", "start", "end")
     met = digests.filter("part >= 0").select("part", "packed").groupBy("part").applyInPandas(_matcher(parts), "owner int, packed binary")
     far = met.groupBy("owner").applyInPandas(_gatherer(length), "key binary, start int, end int")
@@ -168,6 +174,19 @@ def _cutter(length: int, splitters: list[int]):
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``size`` rows, the last one excepted."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= size:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
 def _windows(contents: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All bytes, and for each window its begin there, its content's number and its place in the content."""
     sizes = np.array([len(c) for c in contents], np.int64)
