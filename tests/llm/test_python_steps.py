@@ -2,7 +2,8 @@
 
 import re
 
-from trackmill.llm import quality, suffixes
+from trackmill.llm import quality, similarity, suffixes
+from trackmill.llm.shared import BATCH_ROWS
 
 CHAIN = re.compile(r"MapInArrow[^\n]*\n(?:[ :+-]*(?:Project|Filter)[^\n]*\n)*[ :+-]*MapInArrow")
 
@@ -31,3 +32,21 @@ def test_hot_suffixes_are_cut_and_digested_in_one_step(spark):
     found = suffixes.repeated_spans(rows(spark), 40, 8)
     assert "MapInArrow" in plan(found)
     assert not CHAIN.search(plan(found))
+
+
+def test_texts_are_handed_over_in_small_batches_and_the_setting_is_restored(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(name)
+    for module in (similarity, suffixes):
+
+        def watched(frame, purpose, stored=module.stored):
+            if "MapInArrow" in plan(frame):
+                seen.append((purpose, int(spark.conf.get(name))))
+            return stored(frame, purpose)
+
+        monkeypatch.setattr(module, "stored", watched)
+    similarity.documents_to_components(rows(spark))
+    suffixes.repeated_spans(rows(spark), 40, 8)
+    assert {p for p, _ in seen} == {"jaccard", "anchors"}
+    assert max(n for _, n in seen) <= BATCH_ROWS
+    assert spark.conf.get(name) == before

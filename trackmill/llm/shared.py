@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,8 @@ PRIME = (1 << 31) - 1
 BASES = (1_183_477_331, 1_774_099_057)
 #: A fixed random 64-bit value for each byte.
 BYTE_VALUES = np.random.default_rng(20_240_601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of texts that are handed to Python at once: the buffers for 10,000, Spark's default, weigh on an executor's memory.
+BATCH_ROWS = 1_000
 #: Values that are hashed at once, so that what lies between stays in the cache.
 STEP = 1 << 14
 _LOW, _HALF = np.uint64(PRIME), np.uint64(31)
@@ -35,6 +38,19 @@ def settle(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Hand rows to Python in batches of BATCH_ROWS at most while jobs run inside. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:  # zero or less: no bound
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """Compute once, write Parquet to the shared folder and read it back: compressed, and Spark knows its size."""
     path = new_path(frame.sparkSession, purpose)

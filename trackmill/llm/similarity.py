@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, shingles, span_hash, stored, words
+from .shared import BYTE_VALUES, lowered, pieces, prefix_hash, shingles, small_batches, span_hash, stored, words
 
 #: Counters of the sketch that orders shingles, and parts in which tasks hand them over.
 COUNTERS, PARTS = 1 << 19, 64
@@ -285,6 +285,11 @@ def components(documents: DataFrame, k: int, num: int, den: int, name: str = "co
     Null and empty texts have no shingles and are their own class, as are null ids among
     themselves. Repeated rows and copies share a class. Other columns are not read.
     """
+    with small_batches(documents.sparkSession):
+        return _components(documents, k, num, den, name)
+
+
+def _components(documents: DataFrame, k: int, num: int, den: int, name: str) -> DataFrame:
     data = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = documents.select("doc_id", data.alias("text"), F.substring(F.unhex(F.sha2(data, 256)), 1, 16).alias("text_key"))
     known = stored(_identify(rows, k), "jaccard")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BYTE_VALUES, pieces, prefix_hash, span_hash, stored
+from .shared import BYTE_VALUES, pieces, prefix_hash, small_batches, span_hash, stored
 
 #: Length of the strings, and of the leading gram by which suffixes are chosen and dealt.
 LENGTH = 400
@@ -104,7 +104,8 @@ def repeated_spans(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     copies = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies"))
     whole = copies.filter("copies > 1").select("key", F.lit(True).alias("whole"))
     # Two steps read the anchors; hashing all bytes for each would cost more than keeping their rows.
-    found = stored(_anchor_rows(rows.filter(F.octet_length("text") >= length), length, gram), "anchors")
+    with small_batches(documents.sparkSession):
+        found = stored(_anchor_rows(rows.filter(F.octet_length("text") >= length), length, gram), "anchors")
     where = F.struct("key", "place")
     grams = found.groupBy("gram").agg(F.min(where).alias("a"), F.max(where).alias("b"), F.min("lead").alias("lead"), F.count(F.lit(1)).alias("n"))
     grams = stored(grams.filter("a <> b").select("gram", "lead", (F.col("n") > HOT).alias("hot"), "n"), "grams")
