@@ -28,6 +28,9 @@ STAGE_TABLE = {"run_id": "string", "stage_index": "bigint"} | STAGE_FIELDS
 TRACK_TABLE = {"run_id": "string"} | EVALUATED_COLUMNS
 COUNT_TABLE = {"run_id": "string", "track_count": "bigint", "track_version": "string"}
 SHARDS = 64
+# Tracks of a version lie in folders of this shard of the run id, so a lookup opens one of them.
+TRACK_SHARD = "run_id_shard"
+TRACK_SHARDS = 16
 
 
 def run_shard(run_id: Column) -> Column:
@@ -35,6 +38,11 @@ def run_shard(run_id: Column) -> Column:
     return F.pmod(F.xxhash64(run_id), F.lit(SHARDS))
 
 
+def track_shard(run_id: Column) -> Column:
+    """Shard of a run's tracks, from its id alone."""
+    return F.pmod(F.xxhash64(run_id), F.lit(TRACK_SHARDS))
+
+
 def scan_runs(spark: SparkSession, root: str) -> DataFrame:
     """Run table with its partition column, for lookups that name the shard."""
     return published.read(spark, root, "runs", RUN_TABLE)
@@ -60,21 +68,22 @@ def read_track_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_tracks(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
-    """Evaluated-track table; with ``run_id`` one run's tracks, from the version that has them."""
+    """Evaluated-track table; with ``run_id`` one run's tracks, from its shard of the version that has them."""
     counts = _current_counts(spark, root)
     if run_id is not None:
         counts = counts.where((F.col("run_shard") == run_shard(F.lit(run_id))) & (F.col("run_id") == run_id))
     current = counts.select("run_id", "track_version")
     versions = [r[0] for r in current.select("track_version").distinct().collect()]  # imports that still have a run
-    schema = ddl(TRACK_TABLE | {"track_version": "string"})
+    schema = ddl(TRACK_TABLE | {"track_version": "string", TRACK_SHARD: "bigint"})
     if not versions:
-        return spark.createDataFrame([], schema).drop("track_version")
+        return spark.createDataFrame([], ddl(TRACK_TABLE))
     base = f"{root}/evaluated_tracks"
     paths = [f"{base}/track_version={v}" for v in sorted(versions)]
     stored = spark.read.schema(schema).option("basePath", base).parquet(*paths)
     if run_id is not None:
-        return stored.where(F.col("run_id") == run_id).drop("track_version")
-    return stored.join(current, ["run_id", "track_version"], "left_semi").drop("track_version")
+        own = (F.col(TRACK_SHARD) == track_shard(F.lit(run_id))) & (F.col("run_id") == run_id)
+        return stored.where(own).select(*TRACK_TABLE)
+    return stored.join(current, ["run_id", "track_version"], "left_semi").select(*TRACK_TABLE)
 
 
 def has_runs(spark: SparkSession, root: str) -> bool:
@@ -183,9 +192,10 @@ def replace_tracks(
     version = uuid.uuid4().hex
     path = f"{root}/evaluated_tracks/track_version={version}"
     rows = tracks.select(*TRACK_TABLE)
-    # REBALANCE gathers each run's rows and lets adaptive execution merge small partitions and split large ones.
-    rows.hint("rebalance", "run_id").sortWithinPartitions("run_id", "track_id").write.parquet(path)
-    staged = spark.read.schema(rows.schema).parquet(path)
+    # REBALANCE gathers each shard's rows and lets adaptive execution merge small partitions and split large ones.
+    dealt = rows.withColumn(TRACK_SHARD, track_shard(F.col("run_id"))).hint("rebalance", TRACK_SHARD)
+    dealt.sortWithinPartitions(TRACK_SHARD, "run_id", "track_id").write.partitionBy(TRACK_SHARD).parquet(path)
+    staged = spark.read.schema(rows.schema).parquet(path).select(*TRACK_TABLE)
     ids = _staged(spark, root, runs.select("run_id").distinct())
     problem = run_track_problems(staged).limit(1).collect()
     if problem:
