@@ -295,6 +295,26 @@ def test_pieces(odd, empty, documents):
     assert pieces.encode(empty, vocabulary).count() == 0
 
 
+def test_words_found_together_equal_words_found_alone(monkeypatch):
+    vocabulary = pieces.Vocabulary.load()
+    random = np.random.default_rng(3)
+    signs = np.array(list(" \n\t.,(_²»—”01AaBbeinorst\u00e9\u00ff\u0438\u4e2d\U0001f600"))
+    texts = ["", "x" * 63, "x" * 64, "ab " * 40, *("".join(random.choice(signs, n)) for n in random.integers(0, 90, 400))]
+
+    def alone(text):
+        _, back = vocabulary.paths(text, {0: 0}, len(text))
+        return vocabulary.trace(text, back, 0, len(text))
+
+    encoder = pieces.Encoder(vocabulary)
+    for most in (pieces.CACHE, 5):  # the second one forgets its words again and again
+        monkeypatch.setattr(pieces, "CACHE", most)
+        assert [x.tolist() for part in (texts[:200], texts[200:]) for x in encoder.encode_all(part)] == [alone(t) for t in texts]
+    ids, sizes = vocabulary.segment(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [alone(t) for t in texts]
+    # Fewer lookups by Python: signs behind a word make no other word of it.
+    assert encoder.units(" word, word. (word)") == [" word", ",", " word", ".", " (", "word", ")"]
+
+
 def test_transfer_is_associative():
     random = np.random.default_rng(1)
     a, b, c = (random.integers(-50, 0, (5, 5)) for _ in range(3))

@@ -1,8 +1,11 @@
 """No Python step reads straight from another: each would hold a worker of its own in every task."""
 
+import gc
 import re
 
-from trackmill.llm import quality, similarity, suffixes
+import pyarrow as pa
+
+from trackmill.llm import pieces, quality, similarity, suffixes
 from trackmill.llm.shared import BATCH_ROWS
 
 CHAIN = re.compile(r"MapInArrow[^\n]*\n(?:[ :+-]*(?:Project|Filter)[^\n]*\n)*[ :+-]*MapInArrow")
@@ -50,3 +53,20 @@ def test_texts_are_handed_over_in_small_batches_and_the_setting_is_restored(spar
     assert {p for p, _ in seen} == {"jaccard", "anchors"}
     assert max(n for _, n in seen) <= BATCH_ROWS
     assert spark.conf.get(name) == before
+
+
+def test_tokens_are_found_without_a_step_behind_a_step(spark):
+    encoded = pieces.encode(rows(spark), pieces.Vocabulary.load(), 50)
+    assert "MapInArrow" in plan(encoded)
+    assert not CHAIN.search(plan(encoded))
+
+
+def test_no_words_are_remembered_behind_a_task(spark):
+    pieces.encode(rows(spark).repartition(4), pieces.Vocabulary.load(), 50).collect()
+
+    def held(batches):
+        found = sum(type(x).__name__ == "Encoder" for x in gc.get_objects())
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([found] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in spark.range(0, 64, 1, 8).mapInArrow(held, "n long").collect()} == {0}

@@ -20,10 +20,14 @@ CHUNK = 16_384
 SCALE = 1 << 20
 #: Score of a byte piece, below every other piece.
 BYTE_SCORE = -20 * SCALE
-#: Cached word encodings per task.
-CACHE = 400_000
+#: Words that a task remembers, about 200 bytes each, and code points up to which words are looked up together.
+CACHE, WORD = 100_000, 64
+#: Words that are looked up at once, and about how many code points of cut texts.
+WORDS, TOGETHER = 10_000, 1 << 20
 NEVER = -(1 << 60)
 SPACE = "▁"
+#: Letters and digits, and the other signs but blanks and line breaks.
+_LETTER, _SIGN = r"[^\W_²³¹]", r"(?:[^\w \n]|[_²³¹])"
 
 
 class Vocabulary:
@@ -54,6 +58,24 @@ class Vocabulary:
         self.longest = max(map(len, pieces), default=1)
         #: No piece spans a blank after another character, or a line break: paths meet there.
         self.meets = not any(re.search(r"[^ ] |\n", p) for p in pieces)
+        #: Nor a letter or digit next to another sign: they meet there as well.
+        self.parts = self.meets and not any(re.search(f"{_LETTER}{_SIGN}|{_SIGN}{_LETTER}", p) for p in pieces)
+        self._number_trie()
+
+    def _number_trie(self) -> None:
+        """The trie as sorted numbers of its edges (node times letters plus letter), with the node and the piece each leads to."""
+        self.letters = np.array(sorted({ord(c) for p in self.ids for c in p}), np.uint32)
+        number = {chr(c): i for i, c in enumerate(self.letters)}
+        edges, nodes = [], [(self.trie, "")]
+        for at, (node, text) in enumerate(nodes):
+            for c, below in node.items():
+                if c:
+                    edges.append((at * len(number) + number[c], len(nodes), self.ids.get(text + c, -1)))
+                    nodes.append((below, text + c))
+        self.edges, self.child, self.piece = np.array(sorted(edges), np.int64).reshape(-1, 3).T.astype(np.int32 if len(nodes) * len(number) < 1 << 31 else np.int64)
+        self.score_of = np.full(max(self.ids.values(), default=-1) + 1, NEVER, np.int64)
+        for piece, score in self.scores.items():
+            self.score_of[self.ids[piece]] = score
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -94,6 +116,71 @@ class Vocabulary:
                     best[at + 1], back[at + 1] = score, at
         return best, back
 
+    def segment(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the best paths through the texts, as ``paths`` and ``trace`` find them, and how many each has; a place of all texts at a time."""
+        slow = {i: t for i, t in enumerate(texts) if len(t) > WORD}
+        texts = ["" if i in slow else t for i, t in enumerate(texts)]
+        sizes = np.array([len(t) for t in texts], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        letter = np.searchsorted(self.letters, points).astype(self.edges.dtype)
+        known = letter < len(self.letters)
+        known[known] = self.letters[letter[known]] == points[known]
+        at, node, width = np.arange(len(points)), np.zeros(len(points), self.edges.dtype), self.edges.dtype.type(len(self.letters))
+        left = np.repeat(begins + sizes, sizes) - at
+        alone = np.zeros(len(points), bool)  # code points that are a piece
+        found = []
+        for size in range(1, self.longest + 1):
+            open_ = left[at] >= size
+            at, node = at[open_], node[open_]
+            open_ = known[at + size - 1]
+            at, node = at[open_], node[open_]
+            edge = node * width + letter[at + size - 1]
+            place = np.minimum(np.searchsorted(self.edges, edge), max(len(self.edges) - 1, 0))
+            there = self.edges[place] == edge if len(self.edges) else np.zeros(len(edge), bool)
+            at, place = at[there], place[there]
+            node, piece = self.child[place], self.piece[place]
+            ends = piece >= 0
+            found.append((at[ends], np.full(ends.sum(), size), piece[ends]))
+            if size == 1:
+                alone[at[ends]] = True
+        start, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        # A text has a place more than code points. Pieces that begin earlier come first, so the longest of equally good ones stays.
+        begin, inside = start + owner[start], start - begins[owner[start]]
+        inside = inside.astype(np.uint8 if WORD < 256 else np.int64)
+        order = np.argsort(inside, kind="stable")
+        begin, size, piece = begin[order], size[order], piece[order]
+        bounds = np.searchsorted(inside[order], np.arange(sizes.max(initial=0) + 1))
+        best = np.full(len(points) + len(texts), NEVER, np.int64)
+        best[begins + np.arange(len(texts))] = 0
+        back = np.zeros(len(best), np.int64)
+        gain, end = self.score_of[piece], begin + size
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            score = best[begin[low:high]] + gain[low:high]
+            better = np.flatnonzero(score > best[end[low:high]])
+            best[end[low + better]] = score[better]
+            back[end[low + better]] = low + better
+        rare = np.zeros(len(texts), bool)  # with code points that become bytes
+        rare[owner[~alone]] = True
+        row = np.flatnonzero(~rare & (sizes > 0))
+        place, rows, ids = (begins + sizes + np.arange(len(texts)))[row], [row[:0]], [row[:0]]
+        while len(row):
+            rows.append(row)
+            ids.append(piece[back[place]])
+            place = begin[back[place]]
+            on = place > begins[row] + row
+            row, place = row[on], place[on]
+        slow |= {i: texts[i] for i in np.flatnonzero(rare).tolist()}
+        for i, text in slow.items():
+            _, back = self.paths(text, {0: 0}, len(text))
+            found = self.trace(text, back, 0, len(text))
+            rows.insert(1, np.full(len(found), i))
+            ids.insert(1, np.array(found, np.int64))
+        rows, ids = np.concatenate(rows[::-1]), np.concatenate(ids[::-1])
+        order = np.argsort(rows.astype(np.uint16) if len(texts) < 1 << 16 else rows, kind="stable")
+        return ids[order].astype(np.int32), np.bincount(rows, minlength=len(texts))
+
     def trace(self, text: str, back: list[int], start: int, end: int) -> list[int]:
         out: list[int] = []
         while end > start:
@@ -116,37 +203,65 @@ class Vocabulary:
 
 
 _UNIT = re.compile(r" *[^ \n]+| +|\n")
+_PART = re.compile(rf" *{_LETTER}+| *{_SIGN}+| +|\n")
 
 
-class _Cache(dict):
-    """Ids of words as bytes, computed when first asked for."""
+class _Numbers(dict):
+    """Words by number, in the order in which they were first asked for."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.new: list[str] = []
 
-    def __missing__(self, text: str) -> bytes:
-        _, back = self.vocabulary.paths(text, {0: 0}, len(text))
-        found = np.array(self.vocabulary.trace(text, back, 0, len(text)), np.int32).tobytes()
-        if len(text) < 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[text] = found
-        return found
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        return number
 
 
 class Encoder:
-    """Encodes stretches between meeting places, each word once per cache."""
+    """Encodes stretches between meeting places, each word once while it is remembered. A task has its own: what outlives it weighs on other stages."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.seen = _Cache(vocabulary)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen = _Numbers()
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def units(self, text: str) -> list[str]:
-        return _UNIT.findall(text) if self.vocabulary.meets else [text] * bool(text)
+        if not self.vocabulary.meets:
+            return [text] * bool(text)
+        return (_PART if self.vocabulary.parts else _UNIT).findall(text)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.seen.__getitem__, self.units(text))), np.int32)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.seen) > CACHE:
+            self._forget()
+        numbers, stops = [], []
+        for text in texts:
+            numbers.extend(map(self.seen.__getitem__, self.units(text)))
+            stops.append(len(numbers))
+        self._learn()
+        numbers = np.array(numbers, np.int64)
+        begins = self.ends[numbers]
+        sizes = self.ends[numbers + 1] - begins
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(begins - ends[:-1], sizes)]
+        return np.split(flat, ends[stops[:-1]]) if texts else []
+
+    def _learn(self) -> None:
+        """The ids of new words, behind those of the others."""
+        new, self.seen.new = self.seen.new, []
+        parts = [self.ids], [self.ends]
+        for at in range(0, len(new), WORDS):
+            ids, sizes = self.vocabulary.segment(new[at : at + WORDS])
+            parts[0].append(ids)
+            parts[1].append(parts[1][-1][-1] + np.cumsum(sizes))
+        self.ids, self.ends = (np.concatenate(x) for x in parts)
 
     def _cuts(self, text: str, first: int, last: int) -> tuple[int, int]:
         """The first and last meeting place in a range, or -1."""
@@ -178,22 +293,21 @@ class Encoder:
                 out[i] = leave(self.vocabulary.paths(text, {i: 0}, size)[0])
         return out
 
-    def between(self, text: str, size: int, enter: int, leave: int) -> np.ndarray:
-        """Ids of the best path through a chunk with known states at both ends."""
+    def between(self, text: str, size: int, enter: int, leave: int) -> tuple[np.ndarray, str, np.ndarray]:
+        """Ids of the best path through a chunk with known states at both ends: behind the first ones come those of the text in the middle."""
+        none = np.zeros(0, np.int32)
         if enter >= size:
-            return np.zeros(0, np.int32)
+            return none, "", none
         first, last = self._cuts(text, max(enter, 1), size)
         end = size + leave
         if first < 0:
             _, back = self.vocabulary.paths(text, {enter: 0}, size)
-            return np.array(self.vocabulary.trace(text, back, enter, end), np.int32)
+            return np.array(self.vocabulary.trace(text, back, enter, end), np.int32), "", none
         head, tail = text[enter:first], text[last:]
-        parts = [self.encode(text[first:last])]
         _, back = self.vocabulary.paths(head, {0: 0}, len(head))
-        parts.insert(0, np.array(self.vocabulary.trace(head, back, 0, len(head)), np.int32))
+        before = np.array(self.vocabulary.trace(head, back, 0, len(head)), np.int32)
         _, back = self.vocabulary.paths(tail, {0: 0}, size - last)
-        parts.append(np.array(self.vocabulary.trace(tail, back, 0, end - last), np.int32))
-        return np.concatenate(parts)
+        return before, text[first:last], np.array(self.vocabulary.trace(tail, back, 0, end - last), np.int32)
 
 
 def _meets(text: str, at: int) -> bool:
@@ -218,18 +332,6 @@ def states(matrices: list[np.ndarray]) -> list[int]:
     return found[::-1]
 
 
-_encoders: dict[int, Encoder] = {}
-
-
-def _encoder(shared: Broadcast) -> Encoder:
-    """One encoder per worker process, so its cache serves all tasks there."""
-    key = id(shared.value)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
-
-
 def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids and round_trip of every document.
 
@@ -247,16 +349,14 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     shared = documents.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size: the vocabulary
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)
         for batch in batches:
             for part in _slices(batch):
-                ids, n_chars, right = [], [], []
-                for text in part.column(1).to_pylist():
-                    spaced = " " + text if text else ""
-                    found = None if text is None else encoder.encode(spaced)
-                    ids.append(found)
-                    n_chars.append(len(text or ""))
-                    right.append(None if text is None else _same(encoder.vocabulary, found, spaced))
+                texts = part.column(1).to_pylist()
+                spaced = [" " + text if text else "" for text in texts]
+                ids = [None if t is None else x for t, x in zip(texts, encoder.encode_all(spaced), strict=True)]
+                n_chars = [len(text or "") for text in texts]
+                right = [None if x is None else _same(encoder.vocabulary, x, t) for x, t in zip(ids, spaced, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n_chars, pa.int64()), _lists(ids), pa.array(right, pa.bool_())],
                     ["doc_id", "n_chars", "ids", "round_trip"],
@@ -267,17 +367,18 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     long = F.coalesce(F.char_length("text"), F.lit(0)) >= chunk
     short = read.filter(~long).mapInArrow(plain, f"doc_id {kind}, n_chars long, ids array<int>, round_trip boolean")
     giant = read.filter(long).withColumn("digest", F.sha2("text", 256))
-    pieces = giant.dropDuplicates(["digest"]).select("digest", "text").mapInArrow(
-        _cutter(chunk, vocabulary.longest), "digest string, chunk int, size int, text string"
-    )
+    distinct = giant.dropDuplicates(["digest"]).select("digest", "text")
+    cut = _cutter(chunk, vocabulary.longest)
+    pieces = distinct.mapInArrow(cut, "digest string, chunk int, size int, text string")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
+        encoder = Encoder(shared.value)
+        for batch in cut(batches):
             found = [encoder.transfer(t, n).tobytes() for t, n in zip(batch.column("text").to_pylist(), batch.column("size").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("chunk"), pa.array(found, pa.binary())], ["digest", "chunk", "matrix"])
 
-    matrices = pieces.mapInArrow(measure, "digest string, chunk int, matrix binary")
+    # One step cuts and measures: a second one behind it would give every task another Python worker.
+    matrices = distinct.mapInArrow(measure, "digest string, chunk int, matrix binary")
 
     def scan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
@@ -288,12 +389,12 @@ def encode(documents: DataFrame, vocabulary: Vocabulary, chunk: int = CHUNK) ->
     bounds = matrices.groupBy("digest").applyInPandas(scan, "digest string, chunk int, enter int, leave int")
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
-        for batch in batches:
-            ids, right = [], []
-            for text, size, enter, leave in zip(*(batch.column(c).to_pylist() for c in ("text", "size", "enter", "leave")), strict=True):
-                ids.append(encoder.between(text, size, enter, leave))
-                right.append(_same(encoder.vocabulary, ids[-1], text[enter : size + leave]))
+        encoder = Encoder(shared.value)
+        for batch in (part for b in batches for part in _slices(b, max(1, TOGETHER // chunk))):
+            given = [*zip(*(batch.column(c).to_pylist() for c in ("text", "size", "enter", "leave")), strict=True)]
+            heads, middles, tails = zip(*(encoder.between(*x) for x in given), strict=True)
+            ids = [np.concatenate(x) for x in zip(heads, encoder.encode_all(middles), tails, strict=True)]
+            right = [_same(encoder.vocabulary, x, text[enter : size + leave]) for x, (text, size, enter, leave) in zip(ids, given, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("digest"), batch.column("chunk"), _lists(ids), pa.array(right, pa.bool_())],
                 ["digest", "chunk", "ids", "round_trip"],
