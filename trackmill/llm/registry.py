@@ -39,7 +39,7 @@ def op8_benchmark_decontamination(spark, folder):
 
 
 def op9_suffix_array_dedup(spark, folder):
-    return suffixes.documents_to_cuts(table(spark, folder, "documents"))
+    return suffixes.documents_to_cuts_and_passages(table(spark, folder, "documents"))
 
 
 def op10_sentencepiece(spark, folder):
