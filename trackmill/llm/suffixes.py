@@ -134,15 +134,14 @@ def repeated_spans(
     joined = rows.join(marks, "key")
 
     def anchored(hot: bool) -> DataFrame:
-        """Texts that have anchors with hot grams, or others, and these anchors; only such texts leave the join.
+        """Texts that have anchors with hot grams, or others; only such texts leave the join.
 
         All columns stay until then, so that Spark uses the shuffle of the texts again in the last join.
         """
-        own = F.filter("anchors", lambda a: a["hot"] == F.lit(hot)).alias("anchors")
-        return joined.select(*rows.columns, own).filter("size(anchors) > 0")
+        return joined.select(*rows.columns, "anchors").filter(F.exists("anchors", lambda a: a["hot"] == F.lit(hot)))
 
-    cutter = _cutter(length, splitters)
-    cold = anchored(False).mapInArrow(cutter, "key binary, bucket int, gram long, lead long, start int, windows int, content binary")
+    cutter = _cutter(lengths, splitters, True)
+    cold = anchored(False).mapInArrow(_cutter(lengths, splitters, False), "key binary, bucket int, gram long, lead long, start int, windows int, content binary")
     cold = cold.groupBy("bucket").applyInPandas(_resolver(lengths), "key binary, length int, start int, end int")
     parts = max(1, -(-(facts["hot"] or 0) * ((least - gram) // 2) // PART_WINDOWS))
     digester = _digester(lengths, parts, SLICE)
@@ -165,8 +164,14 @@ def repeated_spans(
     return marked.select(*keep, "text", *chosen)
 
 
-def _cutter(length: int, splitters: list[int]):
+def _cutter(lengths: tuple[int, ...], splitters: list[int], hot: bool):
+    """The suffixes of hot anchors, or of the others.
+
+    A string of the longest length repeats only if all shorter ones in it do. So a content goes beyond the shortest length
+    only for windows that are followed by as many windows of repeated anchors as such a string has.
+    """
     bounds = np.array(splitters, np.int64)
+    least, longest = lengths[0], lengths[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -177,18 +182,27 @@ def _cutter(length: int, splitters: list[int]):
                     continue
                 last = name
                 text = batch.column("text")[at].as_py().encode()
-                own = batch.column("anchors")[at].as_py()
-                lead = np.array([a["lead"] for a in own], np.int64)
-                bucket = np.where([a["hot"] for a in own], -1, np.searchsorted(bounds, lead, side="right"))
+                own = sorted(batch.column("anchors")[at].as_py(), key=lambda a: -a["low"])
+                before = reach = -1
+                contents = []
+                for a in own:  # from the text's end
+                    reach = reach if a["high"] + 1 == before else a["high"]
+                    before = a["low"]
+                    far = min(a["high"], reach - (longest - least))
+                    end = far + longest if far >= a["low"] else 0
+                    contents.append(text[a["low"] : max(a["high"] + least, end)])
+                chosen = [(a, c) for a, c in zip(own, contents, strict=True) if a["hot"] == hot]
+                lead = np.array([a["lead"] for a, _ in chosen], np.int64)
+                bucket = np.full(len(chosen), -1) if hot else np.searchsorted(bounds, lead, side="right")
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([name] * len(own), pa.binary()),
+                        pa.array([name] * len(chosen), pa.binary()),
                         pa.array(bucket.astype(np.int32)),
-                        pa.array([a["gram"] for a in own], pa.int64()),
+                        pa.array([a["gram"] for a, _ in chosen], pa.int64()),
                         pa.array(lead),
-                        pa.array([a["low"] for a in own], pa.int32()),
-                        pa.array([a["high"] - a["low"] + 1 for a in own], pa.int32()),
-                        pa.array([text[a["low"] : a["high"] + length] for a in own], pa.binary()),
+                        pa.array([a["low"] for a, _ in chosen], pa.int32()),
+                        pa.array([a["high"] - a["low"] + 1 for a, _ in chosen], pa.int32()),
+                        pa.array([c for _, c in chosen], pa.binary()),
                     ],
                     ["key", "bucket", "gram", "lead", "start", "windows", "content"],
                 )
@@ -300,7 +314,8 @@ def _digester(lengths: tuple[int, ...], parts: int, size: int):
                     runs = np.empty(len(first), _RUN)
                     runs["key"], runs["start"], runs["end"] = keys[owner[first]], start[first], start[last] + length
                     records = np.empty(len(one), _RECORD)
-                    records["key"], records["start"], records["known"], records["a"], records["b"] = keys[owner[one]], start[one], count > 1, a[one], b[one]
+                    records["key"], records["start"], records["known"] = keys[owner[one]], start[one], count > 1
+                    records["a"], records["b"] = a[one], b[one]
                     near, near_runs = _packed(runs, _owners(runs["key"], parts) * len(lengths) + number)
                     here, packed = _packed(records, a[one] % parts * len(lengths) + number)
                     yield pa.RecordBatch.from_arrays(
