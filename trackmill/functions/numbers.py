@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 _PRODUCT_ERROR = 2.3e-16
 
 
-def py_round(x: Column, digits: int) -> Column:
+def _round_text(x: Column, digits: int) -> Column:
+    pattern = "0." + "0" * digits if digits else "0"
+    formatted = F.call_function("format_number", x, F.lit(pattern)).try_cast("double")
+    by_text = F.coalesce(formatted, x)
+    # The formatter loses the lone digit 5 right behind the last kept place.
+    lone = float(f"5e-{digits + 1}")
+    if round(lone, digits) > 0:
+        by_text = F.when(F.abs(x) == lone, F.signum(x) * round(lone, digits)).otherwise(by_text)
+    return by_text
+
+
+def py_round(x: Column, digits: int, apart: bool = False) -> Column:
     """Round the exact binary value half-to-even, as Python's ``round`` does.
 
     When the scaled product is further from a tie than its own rounding error,
     ``rint(x * 10^d) / 10^d`` is already the correctly rounded result and stays
     in generated arithmetic. Only rows near a tie, and numbers too large for
     that, go through decimal formatting. NaN and infinities pass through; -0.0
-    becomes 0.0.
+    becomes 0.0. ``apart`` keeps the formatting out of generated code, for steps that round so many
+    columns that one method of them all would be too large to be compiled; the results are equal.
     """
     scale = F.lit(float(10**digits))
     scaled = x * scale
     nearest = F.rint(scaled)
     off = F.abs(scaled - nearest) + F.abs(scaled) * _PRODUCT_ERROR
-    pattern = "0." + "0" * digits if digits else "0"
-    formatted = F.call_function("format_number", x, F.lit(pattern)).try_cast("double")
-    by_text = F.coalesce(formatted, x)
-    # The formatter loses the lone digit 5 right behind the last kept place.
-    lone = float(f"5e-{digits + 1}")
-    if round(lone, digits) > 0:
-        by_text = F.when(F.abs(x) == lone, F.signum(x) * round(lone, digits)).otherwise(by_text)
+    by_text = F.get(F.transform(F.array(x), lambda v: _round_text(v, digits)), F.lit(0)) if apart else _round_text(x, digits)
     return F.when(off < 0.499999, nearest / scale).otherwise(by_text) + F.lit(0.0)
 
 

@@ -64,9 +64,9 @@ def observations(detections: DataFrame, classes: DataFrame) -> DataFrame:
         "run_id",
         F.col("frame_number").cast("bigint").alias("frame_number"),
         "seq",
-        py_round(F.col("timestamp_seconds"), TIME_DIGITS).alias("timestamp_seconds"),
+        py_round(F.col("timestamp_seconds"), TIME_DIGITS, apart=True).alias("timestamp_seconds"),
         F.col("raw_track_id").cast("bigint").alias("track_id"),
         "label",
-        py_round(F.col("confidence"), CONFIDENCE_DIGITS).alias("confidence"),
-        *[py_round(F.col(c), GEOMETRY_DIGITS).alias(c) for c in geometry],
+        py_round(F.col("confidence"), CONFIDENCE_DIGITS, apart=True).alias("confidence"),
+        *[py_round(F.col(c), GEOMETRY_DIGITS, apart=True).alias(c) for c in geometry],
     )

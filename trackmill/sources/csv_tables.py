@@ -16,13 +16,18 @@ FLOAT_CELL = (
     r"|\.\d+(_\d+)*(e[+-]?\d+(_\d+)*)?|nan|inf|infinity)\s*\z"
 )
 
-def _typed(name: str, kind: str) -> Column:
+# Cells of these characters only, as nearly all are: there a cast alone accepts what the patterns above accept.
+PLAIN_CELLS = r"\A[-+.,0-9eE]*\z"
+
+
+def _typed(name: str, kind: str, plain: Column) -> Column:
     cell = F.col(name)
     if kind == "string":
         return F.coalesce(cell, F.lit(""))  # the reader turns empty text into null
     pattern = INTEGER_CELL if kind == "bigint" else FLOAT_CELL
-    plain = F.regexp_replace(F.trim(cell), "_", "")
-    return F.when(cell.rlike(pattern), plain.try_cast(kind))
+    # In an array function, which no generated code holds: one large method of it would run uncompiled.
+    odd = F.transform(F.array(cell), lambda c: F.when(c.rlike(pattern), F.regexp_replace(F.trim(c), "_", "")))
+    return F.when(plain, cell).otherwise(F.get(odd, F.lit(0))).try_cast(kind)
 
 
 def scan_text(
@@ -63,12 +68,15 @@ def scan_text(
 
 def typed(cells: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Convert text cells; ``bad_cells`` lists the columns that could not be read."""
-    values = {name: _typed(name, kind) for name, kind in columns.items()}
-    bad = F.array_compact(
-        F.array(*[F.when(value.isNull(), F.lit(name)) for name, value in values.items()])
-    )
+    plain = F.concat_ws(",", *[name for name, kind in columns.items() if kind != "string"]).rlike(PLAIN_CELLS)
+    values = F.struct(*[_typed(name, kind, plain).alias(name) for name, kind in columns.items()])
     others = [c for c in cells.columns if c not in columns]
-    return cells.select(*others, *[v.alias(n) for n, v in values.items()], bad.alias("bad_cells"))
+    # A generator of one row: a filter on the values is not pushed below it, where it would cast every cell again.
+    rows = cells.select(*others, values.alias("_values")).select(*others, F.inline(F.array("_values")))
+    missing = [F.col(name).isNull() for name in columns]
+    names = F.array(*[F.when(none, F.lit(name)) for name, none in zip(columns, missing)])
+    bad = F.when(F.greatest(F.lit(False), *missing), F.array_compact(names)).otherwise(F.array().cast("array<string>"))
+    return rows.select("*", bad.alias("bad_cells"))
 
 
 def all_good(rows: DataFrame) -> DataFrame:
